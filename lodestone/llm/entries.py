@@ -15,6 +15,7 @@ from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import score_quality, train
 from lodestone.llm.sharding import assign_shards
 from lodestone.llm.simhash import near_duplicates
+from lodestone.llm.suffix_dedup import remove_repeats
 from lodestone.llm.token_counts import count_tokens
 from lodestone.llm.token_files import token_files
 
@@ -78,12 +79,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=512)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_media(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_sharding, op4_decontamination, op5_token_files, op6_packing, op7_language_id, op8_token_counts, op10_media)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_sharding, op4_decontamination, op5_token_files, op6_packing, op7_language_id, op8_token_counts, op9_suffix_dedup, op10_media)}
 
 
 #: Words of an item or document, and the windows of ten of them that occur in both.
