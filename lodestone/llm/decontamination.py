@@ -183,7 +183,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
                 made.clear()
             return made.setdefault(k, Block(sent[k].value, window))
 
-        def shard(names: list, kind: pa.DataType, texts: list[bytes | None]) -> pa.RecordBatch:
+        def shard(names: list[pa.Array], texts: list[bytes | None]) -> pa.RecordBatch:
             met: list[dict] = [{} for _ in texts]
             flags = None
             for k in range(len(sent)):
@@ -196,7 +196,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
             sums = np.concatenate([[0], np.cumsum(flags)])
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(names, kind),
+                    pa.concat_arrays(names),
                     pa.array(counts),
                     pa.array(sums[offsets[1:]] - sums[offsets[:-1]], pa.int64()),
                     pa.array([sorted(m) for m in met], pa.list_(pa.string())),
@@ -206,18 +206,17 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
             )
 
         matches = pa.list_(pa.struct([("item_id", pa.string()), ("length", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64())]))
-        names, texts, held, kind = [], [], 0, None
+        names, texts, held = [], [], 0
         for b in batches:
-            kind = b.column("doc_id").type
-            for name, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
-                names.append(name)
-                texts.append(text)
-                held += len(text or b"")
-                if held >= SHARD_BYTES:
-                    yield shard(names, kind, texts)
-                    names, texts, held = [], [], 0
+            own = utf8(b.column("text"))
+            names.append(b.column("doc_id"))
+            texts += own
+            held += sum(len(t or b"") for t in own)
+            if held >= SHARD_BYTES:
+                yield shard(names, texts)
+                names, texts, held = [], [], 0
         if names:
-            yield shard(names, kind, texts)
+            yield shard(names, texts)
 
     return map_arrow(base, scan, [("doc_id", id_type(base)), ("n_words", "long"), ("n_hit", "long"), ("items", "array<string>"), ("matches", "array<struct<item_id:string,length:long,doc_word:long,item_word:long>>")])
 
@@ -225,12 +224,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, with all their columns, that hold no window of the benchmark.
 
-    Documents without an id stay or go by themselves too: the join is on a row
-    number, not on the id.
+    Rows go through the search as they are; none is looked up by its id.
     """
-    from lodestone.llm.scratch import stored
-
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc")), "rows")
-    hits = benchmark_hits(rows.select("_row", F.col("_doc.text").alias("text")), benchmark, window, "_row")
-    clean = hits.where("n_hit = 0").select(F.col("doc_id").alias("_row"))
-    return rows.join(clean, "_row").select("_doc.*")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"])
+    return benchmark_hits(rows, benchmark, window, "_row").where("n_hit = 0").select("doc_id.*")

@@ -171,18 +171,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return vectors, fit(x, y, weight, np.array([r[2] == 0 for r in rows], bool))
 
 
-def score_quality(docs: DataFrame, vectors: np.ndarray, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): the probability that a text has label 1.
+def score_rows(docs: DataFrame, vectors: np.ndarray, model: Model, text_col: str = "text") -> DataFrame:
+    """(row, score): each row as it is, in a struct, and the probability that its text has label 1.
 
     Null texts are scored as empty ones, which have features of their own.
     """
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].cast("string").alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast((vectors, model))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, model = sent.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("row"), _scores(b, vectors, model)], ["row", "score"])
+
+    return map_arrow(base, scan, [("row", base.schema["row"].dataType), ("score", "double")])
+
+
+def score_quality(docs: DataFrame, vectors: np.ndarray, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every document."""
     base = narrowed(docs, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast((vectors, model))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, model = sent.value
         for b in batches:
-            x = np.array([features(t or "", vectors) for t in b.column("text").to_pylist()]).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.probabilities(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _scores(b, vectors, model)], ["doc_id", "score"])
 
     return map_arrow(base, scan, [("doc_id", id_type(base)), ("score", "double")])
+
+
+def _scores(b: pa.RecordBatch, vectors: np.ndarray, model: Model) -> pa.Array:
+    x = np.array([features(t or "", vectors) for t in b.column("text").to_pylist()]).reshape(b.num_rows, -1)
+    return pa.array(model.probabilities(x))

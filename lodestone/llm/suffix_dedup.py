@@ -21,6 +21,7 @@ no repeat is lost, as all windows of one content are runs of one name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -337,7 +338,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         removed, spans, kept = [], [], []
         for text, found in zip(utf8(b.column("text")), b.column("spans").to_pylist(), strict=True):
@@ -354,23 +355,26 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join(pieces))
             spans.append(n)
             removed.append(len(text) - len(kept[-1]))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], [*b.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept"])
+        sizes = pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64())
+        rest = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("row"), sizes, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), rest], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False, text_col: str = "text") -> DataFrame:
     """Each document without the bytes of 200-byte strings that also start elsewhere.
 
     Texts are UTF-8 bytes; strings don't cross documents; one that starts twice
-    in a document is repeated; strings are judged on the input.  Returns the
-    columns ``carry`` as they are, n_bytes, n_removed, n_spans (maximal removed
-    runs), kept (the remaining bytes).
+    in a document is repeated; strings are judged on the input.  Returns row
+    (the document's other columns, so that no name can clash), n_bytes,
+    n_removed, n_spans (maximal removed runs), kept (the remaining bytes; with
+    ``as_text`` a string, without the characters that a cut has gone through).
 
     Null texts are empty.  Texts of under 200 bytes are kept whole.  Rows are
     told apart by their texts alone (64-bit hash and size), so repeated or null
     ids do no harm; equal texts have equal results.
     """
     keys = ["key", "size"]
-    base = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    base = docs.select(F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c != text_col]).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     base = base.withColumns({"key": F.xxhash64("text"), "size": F.octet_length("text")})
     long = base.where(F.col("size") >= WINDOW)
 
@@ -387,5 +391,5 @@ def remove_repeats(docs: DataFrame, carry: list[str], text_col: str = "text") ->
     spans = ordered.unionByName(met.where(F.col("state").isin(WHOLE, PARTNER)).select("key", "size", "start", "windows"))
     by_text = spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
     joined = base.join(by_text, keys, "left").select("row", "text", "spans")
-    fields = [("row", joined.schema["row"].dataType), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")]
-    return map_arrow(joined, _remove, fields).select("row.*", "n_bytes", "n_removed", "n_spans", "kept")
+    fields = [("row", joined.schema["row"].dataType), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "string" if as_text else "binary")]
+    return map_arrow(joined, partial(_remove, as_text=as_text), fields)
