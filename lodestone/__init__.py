@@ -1,0 +1 @@
+"""A document store with ranked full-text search, made of Spark DataFrames."""
