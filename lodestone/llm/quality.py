@@ -21,6 +21,8 @@ REACH = 2
 #: Labelled documents that the model is fitted on: at most so many, half of each class.
 SAMPLE = 4000
 HIDDEN, EPOCHS, SEED = 24, 400, 20
+#: Numbers that describe a document: its mean word vector, and seven that `features` adds.
+FEATURES = DIMENSIONS + 7
 #: Words whose buckets a worker keeps.
 KEPT_WORDS = 400_000
 
@@ -164,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rows = base.join(F.broadcast(picked), "doc_id").select("text", "y", F.pmod(mark, F.lit(5)).alias("fold")).collect()  # `sample` rows at most, but for repeated ids
     rows.sort(key=lambda r: (r[2], r[1], r[0]))
     vectors = context_vectors([words_of(r[0]) for r in rows])
-    x = np.array([features(r[0], vectors) for r in rows]).reshape(len(rows), -1)
+    x = np.array([features(r[0], vectors) for r in rows]).reshape(len(rows), FEATURES)
     y = np.array([r[1] for r in rows], float)
     share = {k: shares[k] / max(1, (y == k).sum()) for k in shares}
     weight = np.array([share[k] for k in y.astype(int)])
@@ -201,5 +203,5 @@ def score_quality(docs: DataFrame, vectors: np.ndarray, model: Model, id_col: st
 
 
 def _scores(b: pa.RecordBatch, vectors: np.ndarray, model: Model) -> pa.Array:
-    x = np.array([features(t or "", vectors) for t in b.column("text").to_pylist()]).reshape(b.num_rows, -1)
+    x = np.array([features(t or "", vectors) for t in b.column("text").to_pylist()]).reshape(b.num_rows, FEATURES)
     return pa.array(model.probabilities(x))
