@@ -50,3 +50,15 @@ def has_object(source: Column, field: str, depth: int = 2) -> Column:
         return alone | F.coalesce(F.exists(many, lambda v: holds(v, depth - 1)), F.lit(False))
 
     return holds(F.try_variant_get(body(source), f"$.{field}", "variant"), depth)
+
+
+def dynamic_type(value: Column) -> Column:
+    """The field type that a value gives a field it is the first of; an array counts as its values."""
+    kind = F.regexp_replace(_kind(value), "^ARRAY<(.*)>$", "$1")
+    return (
+        F.when(kind.startswith("OBJECT"), "object")
+        .when(kind == "BOOLEAN", "boolean")
+        .when(kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT"), "long")
+        .when(kind.startswith("DECIMAL") | kind.isin("FLOAT", "DOUBLE"), F.when(F.try_variant_get(value, "$", "decimal(38,18)") % 1 == 0, "long").otherwise("float"))
+        .when(kind == "STRING", "text")
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import InvalidSize
 from lodestone.functions.analysis import standard
-from lodestone.functions.scoring import saturation, weight
+from lodestone.functions.scoring import coded_length, saturation, weight
 from lodestone.operators.postings import Index, Scan, field_terms
 from lodestone.schema import DEFAULT_SIZE, LARGEST_SIZE, Field
 
@@ -69,14 +69,17 @@ def _counted(scan: Scan, wanted: list[tuple]) -> DataFrame:
     return found.select("doc_id", "field", "dl", "avgdl", F.explode(F.array(*each)).alias("m")).where("m.tf > 0").select("doc_id", "field", "m.tf", "dl", "avgdl", "m.weight")
 
 
-def field_scores(source: Index | Scan, q: str) -> DataFrame:
+def field_scores(source: Index | Scan, q: str, coded: bool = False) -> DataFrame:
     """(doc_id, <field>_score ..., _score): every document that has a term in a field.
 
+    With ``coded`` lengths are rounded as an index that keeps a byte for each does.
+
     One shuffle: each field's sum is a conditional sum of the same grouping, and
     the score is the greatest of them.
     """
     flat = {f.name for f in source.fields if f.kind == "keyword"}
-    dl = F.when(F.col("field").isin(*flat), 1).otherwise(F.col("dl")) if flat else F.col("dl")
+    length = coded_length(F.col("dl")) if coded else F.col("dl")
+    dl = F.when(F.col("field").isin(*flat), 1).otherwise(length) if flat else length
     scored = matches(source, q).select("doc_id", "field", (F.col("weight") * saturation(F.col("tf"), dl, F.col("avgdl"))).alias("s"))
     sums = scored.groupBy("doc_id").agg(*[F.round(F.sum(F.when(F.col("field") == f.name, F.col("s"))), DECIMALS).alias(f"{f.name}_score") for f in source.fields])
     each = [F.col(f"{f.name}_score") for f in source.fields]

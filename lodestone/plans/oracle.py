@@ -63,6 +63,9 @@ def oracle_sql() -> dict[str, str]:
         "delete_ack": f"WITH {SETTLED} SELECT doc_id AS deleted, seq FROM settled WHERE op = 'delete' AND present",
         "delete_missing": f"WITH {SETTLED} SELECT doc_id, seq FROM settled WHERE op = 'delete' AND NOT present",
         "json_body_fields": f"WITH {LOG} SELECT doc_id, seq, coalesce(json_extract_string(source, '$.k'), '') AS k, CAST(CASE WHEN json_extract_string(source, '$.k') IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_values FROM log",
+        "dynamic_fields": f"""WITH {LOG}, kv AS (SELECT k AS field, json_type(source, '$.' || k) AS t FROM (SELECT source, unnest(json_keys(source)) AS k FROM log))
+            SELECT field, CASE WHEN t IN ('BIGINT', 'UBIGINT') THEN 'long' WHEN t = 'DOUBLE' THEN 'float' WHEN t = 'BOOLEAN' THEN 'boolean' WHEN t = 'OBJECT' THEN 'object' ELSE 'text' END AS type, count(*) AS n
+            FROM kv WHERE t <> 'NULL' GROUP BY ALL""",
         "tokenize_standard": f"SELECT doc_id, array_to_string({words('text')}, ' ') AS terms FROM documents",
         "tokenize_pages": f"SELECT page_id, array_to_string({words('html')}, ' ') AS terms FROM pages",
         "multivalue_flatten": f"SELECT conv_id, count(*) AS n_values, CAST(sum(len({words('text')})) AS BIGINT) AS dl FROM conversations GROUP BY conv_id",

@@ -15,6 +15,7 @@ from lodestone.operators import op_log
 from lodestone.operators.postings import Scan, document_frequencies, field_lengths, field_terms, postings, statistics
 from lodestone.operators.search import field_scores, search, top
 from lodestone.schema import DEFAULT_SIZE
+from lodestone.sources.corpus import dynamic_fields as fields_of
 from lodestone.sources.corpus import from_documents, from_events
 
 #: The queries' strings: words of several documents, a language tag, a source tag, a repeated word.
@@ -72,6 +73,10 @@ def json_body_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).select("doc_id", "seq", F.array_join(k, " ").alias("k"), F.size(k).cast("long").alias("n_values"))
 
 
+def dynamic_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields_of(_log(spark, sf_dir))
+
+
 def tokenize_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(standard(F.col("text")), " ").alias("terms"))
 
@@ -163,7 +168,7 @@ def search_size_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
-        get_document, get_missing, upsert_snapshot, upsert_ack, delete_snapshot, delete_ack, delete_missing, json_body_fields,
+        get_document, get_missing, upsert_snapshot, upsert_ack, delete_snapshot, delete_ack, delete_missing, json_body_fields, dynamic_fields,
         tokenize_standard, tokenize_pages, multivalue_flatten, keyword_terms, field_length, term_frequency, document_frequency,
         collection_stats, idf, bm25_single_field, boosted_title, keyword_match, match_or, duplicate_terms, zero_term_query,
         best_fields, search_topk, search_size_k,

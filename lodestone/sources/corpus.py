@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.json_values import has_object, is_object, values
+from lodestone.functions.json_values import body, dynamic_type, has_object, is_object, values
 from lodestone.schema import FIELDS
 
 
@@ -22,6 +22,12 @@ def rejected(bodies: DataFrame) -> DataFrame:
     return bodies.where(bad)
 
 
+def dynamic_fields(bodies: DataFrame) -> DataFrame:
+    """(field, type, n): the fields that bodies have, with the types that their values show."""
+    members = bodies.select(F.explode(F.try_variant_get(body(F.col("source")), "$", "map<string,variant>")).alias("field", "value"))
+    return members.select("field", dynamic_type(F.col("value")).alias("type")).where("type is not null").groupBy("field", "type").agg(F.count("*").alias("n"))
+
+
 def from_documents(table: DataFrame) -> DataFrame:
     """The table ``documents``: its first line is the title, language and source are tags."""
     return table.select(

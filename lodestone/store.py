@@ -103,6 +103,13 @@ class DocumentStore:
     def documents(self) -> DataFrame:
         return corpus.from_bodies(op_log.snapshot(self.log()))
 
+    def mapping(self) -> dict[str, list[str]]:
+        """Each field of the bodies and the types that its values show."""
+        out: dict[str, list[str]] = {}
+        for r in corpus.dynamic_fields(op_log.snapshot(self.log())).orderBy("field", "type").collect():
+            out.setdefault(r["field"], []).append(r["type"])
+        return out
+
     def refresh(self) -> str:
         """Write the index of the present state; searches read it until the next write."""
         to = f"{self.path}/index-{self.last_seq()}"

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.errors import InvalidSize
+from lodestone.functions.scoring import coded_length
 from lodestone.operators.op_log import get
-from lodestone.operators.postings import Scan, statistics, field_lengths
+from lodestone.operators.postings import Scan, field_lengths, statistics
 from lodestone.operators.search import field_scores, search, top
 from lodestone.sources import index_files
 from lodestone.sources.corpus import from_bodies
@@ -56,6 +57,15 @@ def test_winning_field_is_the_maximum_not_the_sum(docs):
     assert row["_score"] == row["title_score"] > row["content_score"] > 0 and row["tags_score"] is None
 
 
+def test_coded_lengths(spark, docs):
+    lengths = [0, 23, 24, 39, 40, 41, 42, 56, 57, 100, 1000, 4999]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in lengths], "dl int").select(coded_length(F.col("dl"))).collect()]
+    assert got == [n if n < 24 else 24 + ((n - 24) >> (s := max(0, (n - 24).bit_length() - 4)) << s) for n in lengths]
+    assert got[4:6] == [40, 40] and got[9:11] == [96, 984]
+    short = field_scores(Scan(docs), "hello").orderBy("doc_id").collect()
+    assert field_scores(Scan(docs), "hello", coded=True).orderBy("doc_id").collect() == short
+
+
 def test_sizes(docs):
     whole = [r["doc_id"] for r in top(Scan(docs), "hello", 10).collect()]
     for k in range(5):

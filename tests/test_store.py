@@ -63,6 +63,12 @@ def test_source_is_returned_as_it_was(store):
     assert store.get("a") == json.loads(body) and store.log().first()["source"] == body
 
 
+def test_mapping(store):
+    store.index("a", {"title": "t", "n": 3, "x": 1.5, "ok": True, "o": {"p": 1}, "tags": ["a"], "none": None})
+    store.index("b", {"n": "three"})
+    assert store.mapping() == {"title": ["text"], "n": ["long", "text"], "x": ["float"], "ok": ["boolean"], "o": ["object"], "tags": ["text"]}
+
+
 def test_bulk_and_json_lines(spark, store, tmp_path):
     (tmp_path / "in.jsonl").write_text('{"id": "x", "title": "Red fox"}\n\n{"id": "y", "tags": ["Red fox"]}\n')
     store.index_all(json_lines(spark, str(tmp_path / "in.jsonl")))
