@@ -1,4 +1,4 @@
-"""The queries that apply this subpackage's operators to whole tables, and their SQL."""
+"""The queries that apply this subpackage's operators to whole tables."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.decontamination import benchmark_hits
 from lodestone.llm.language_id import identify_language
 from lodestone.llm.media import stored_media
+from lodestone.llm.oracle import oracle_sql
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.quality import score_quality, train
 from lodestone.llm.sharding import assign_shards
@@ -20,6 +21,7 @@ from lodestone.llm.token_counts import count_tokens
 from lodestone.llm.token_files import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
+__all__ = ["oracle_sql", "queries"]
 TOKENIZER = "byte_bpe_50k.json"
 #: A document whose probability of label 1 is at least this is predicted 1.
 QUALITY_THRESHOLD = 0.3
@@ -90,34 +92,3 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_simhash, op2_quality, op3_sharding, op4_decontamination, op5_token_files, op6_packing, op7_language_id, op8_token_counts, op9_suffix_dedup, op10_media)}
-
-
-#: Words of an item or document, and the windows of ten of them that occur in both.
-OP4_SQL = r"""
-WITH w AS (
-    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
-), b AS (
-    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
-), bw AS (
-    SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[j:j + least(10, len(ws)) - 1], ' ') AS win
-    FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS j FROM b WHERE len(ws) > 0)
-), sizes AS (
-    SELECT DISTINCT n FROM bw
-), dw AS (
-    SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win
-    FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, sizes WHERE len(ws) >= n)
-), m AS (
-    SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.win = bw.win
-), hit AS (
-    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id
-), it AS (
-    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
-)
-SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
-"""
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
