@@ -17,14 +17,35 @@ def snapshot(log: DataFrame) -> DataFrame:
     return last.where("last.op = 'index'").select("doc_id", "last.source")
 
 
-def settled(log: DataFrame) -> DataFrame:
+def settled(log: DataFrame, parts: int | None = None) -> DataFrame:
     """The log with ``present`` (whether the id was there before the write),
     ``logged`` (false for the delete of an absent id) and ``version`` (logged
-    writes of the id so far)."""
-    by_id = W.partitionBy("doc_id").orderBy("seq")
-    seen = log.withColumn("present", F.coalesce(F.lag("op").over(by_id) == "index", F.lit(False)))
-    seen = seen.withColumn("logged", (F.col("op") == "index") | F.col("present"))
-    return seen.withColumn("version", F.sum(F.col("logged").cast("long")).over(by_id.rowsBetween(W.unboundedPreceding, 0)))
+    writes of the id so far).
+
+    An id's writes are cut into ranges of ``seq`` (as many as there are shuffle
+    partitions), each ordered by itself; what a range starts from, the last
+    write before it and the logged writes so far, comes from one row for each
+    earlier range of the id.  So an id with a large part of all writes isn't one
+    task's.
+    """
+    parts = parts or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    width = 1 if low is None else (high - low) // parts + 1
+    cut = log.withColumn("_range", F.floor((F.col("seq") - F.lit(low or 0)) / width))
+    in_range = W.partitionBy("doc_id", "_range").orderBy("seq")
+    local = cut.withColumn("_before", F.lag("op").over(in_range))
+    # as if the id were absent where the range starts
+    local = local.withColumn("_n", F.sum(F.when((F.col("op") == "index") | (F.col("_before") == "index"), 1).otherwise(0)).over(in_range.rowsBetween(W.unboundedPreceding, 0)))
+    ends = cut.groupBy("doc_id", "_range").agg(F.min_by("op", "seq").alias("_first"), F.max_by("op", "seq").alias("_last"))
+    counts = local.groupBy("doc_id", "_range").agg(F.max("_n").alias("_sum"))
+    by_id = W.partitionBy("doc_id").orderBy("_range")
+    starts = ends.join(counts, ["doc_id", "_range"]).withColumn("_there", F.coalesce(F.lag("_last").over(by_id) == "index", F.lit(False)))
+    starts = starts.withColumn("_more", F.when(F.col("_there") & (F.col("_first") != "index"), 1).otherwise(0))
+    starts = starts.withColumn("_so_far", F.coalesce(F.sum(F.col("_sum") + F.col("_more")).over(by_id.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    joined = local.join(starts.select("doc_id", "_range", "_there", "_more", "_so_far"), ["doc_id", "_range"])
+    present = F.when(F.col("_before").isNull(), F.col("_there")).otherwise(F.col("_before") == "index")
+    seen = joined.withColumn("present", present)
+    return seen.select(*log.columns, "present", ((F.col("op") == "index") | F.col("present")).alias("logged"), (F.col("_so_far") + F.col("_n") + F.col("_more")).cast("long").alias("version"))
 
 
 def index_acks(log: DataFrame) -> DataFrame:

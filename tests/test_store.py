@@ -5,9 +5,10 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.errors import DocumentNotFound, InvalidDocument, InvalidSize
-from lodestone.operators.op_log import delete_acks, index_acks, missing_deletes, snapshot
+from lodestone.operators.op_log import delete_acks, index_acks, missing_deletes, settled, snapshot
 from lodestone.session import connect, setting
 from lodestone.sources.corpus import json_lines
 from lodestone.store import DocumentStore
@@ -101,6 +102,9 @@ def test_log_against_a_dictionary(spark, ops, order):
     assert sorted(map(tuple, index_acks(log).collect())) == sorted(acks)
     assert sorted(map(tuple, delete_acks(log).collect())) == sorted(gone)
     assert sorted(map(tuple, missing_deletes(log).collect())) == sorted(missing)
+    for parts in (1, 3, 50):
+        ends = settled(log, parts).groupBy("doc_id").agg(F.max_by("version", "seq")).collect()
+        assert {r[0]: r[1] for r in ends} == {k: version.get(k, 0) for k, *_ in rows}
 
 
 def test_ingest_is_exactly_once(spark, store, tmp_path):
