@@ -96,9 +96,14 @@ def top(source: Index | Scan, q: str, size: int = DEFAULT_SIZE) -> DataFrame:
 def search(source: Index | Scan, q: str, size: int = DEFAULT_SIZE) -> DataFrame:
     """The best documents' columns and ``_score``, which wins over a column of that name.
 
-    Scores are computed without reading the bodies; those of the ``size`` ids,
-    10,000 at most, are fetched afterwards.
+    Scores are computed without reading the bodies.  From an index, the
+    ``size`` ids, 10,000 at most, then go to the driver and back as a filter
+    that reaches the scan of the bodies, which are sorted by id.
     """
-    best = F.broadcast(top(source, q, size).withColumnRenamed("_score", "_best"))
-    found = source.docs.drop("_score").join(best, "doc_id")
+    best, docs = top(source, q, size).withColumnRenamed("_score", "_best"), source.docs.drop("_score")
+    if isinstance(source, Index):
+        rows = best.collect()
+        best = source.docs.sparkSession.createDataFrame(rows, best.schema)
+        docs = docs.where(F.col("doc_id").isin([r["doc_id"] for r in rows]))
+    found = docs.join(F.broadcast(best), "doc_id")
     return found.withColumnRenamed("_best", "_score").orderBy(F.desc("_score"), "doc_id")

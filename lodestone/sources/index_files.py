@@ -14,11 +14,13 @@ def save(docs: DataFrame, path: str, fields: tuple[Field, ...] = FIELDS, files:
 
     A term's postings are then in few files and row groups, which a search finds
     by their least and greatest terms.  A frequent term is spread over several
-    ranges, by document.  Terms and statistics are computed from what was
-    written, not from the texts again.
+    ranges, by document.  Documents are sorted by id, with Bloom filters on it.
+    Terms and statistics are computed from what was written, not from the texts
+    again.
     """
     spark = docs.sparkSession
-    docs.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/docs")
+    by_id = docs.repartitionByRange(files, "doc_id") if files else docs.repartitionByRange("doc_id")
+    by_id.sortWithinPartitions("doc_id").write.mode("overwrite").option("compression", "zstd").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{path}/docs")
     order = ["field", "term", "doc_id"]
     posted = postings(spark.read.parquet(f"{path}/docs"), fields)
     ranged = posted.repartitionByRange(files, *order) if files else posted.repartitionByRange(*order)

@@ -56,7 +56,7 @@ class DocumentStore:
     def append(self, ops: DataFrame, origin: str | None = None) -> None:
         """Add writes (doc_id, seq, op, source); an ``origin`` that is there is replaced."""
         self.create_index_if_needed()
-        ops.select("doc_id", "seq", "op", "source").write.mode("overwrite").parquet(f"{self.path}/log/origin={origin or uuid.uuid4().hex}")
+        ops.select("doc_id", "seq", "op", "source").write.mode("overwrite").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(f"{self.path}/log/origin={origin or uuid.uuid4().hex}")
 
     def last_seq(self) -> int:
         return self.log().agg(F.max("seq")).first()[0] or 0

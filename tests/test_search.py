@@ -100,3 +100,4 @@ def test_plans(index):
         assert node not in best
     assert best.count("hashpartitioning(doc_id") == 1  # one shuffle of scores
     assert "EqualTo(doc_id,d1)" in plan(get(index.docs, "d1"))
+    assert "In(doc_id, [" in plan(search(index, "hello world"))  # bodies are looked up, not scanned
