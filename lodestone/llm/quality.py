@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import id_type, map_arrow, narrowed
+from lodestone.llm.scratch import discard, id_type, map_arrow, narrowed, stored
 
 #: Hash buckets of words, dimensions of their vectors, non-zero entries of an index vector.
 BUCKETS, DIMENSIONS, ENTRIES = 1 << 15, 32, 4
@@ -23,6 +23,8 @@ SAMPLE = 4000
 HIDDEN, EPOCHS, SEED = 24, 400, 20
 #: Numbers that describe a document: its mean word vector, and seven that `features` adds.
 FEATURES = DIMENSIONS + 7
+#: Tasks that read the sample; what they send to the driver is bounded by their number and the sample's.
+TRAIN_TASKS = 8
 #: Words whose buckets a worker keeps.
 KEPT_WORDS = 400_000
 
@@ -54,14 +56,19 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def context_vectors(texts: list[np.ndarray]) -> np.ndarray:
-    """Each bucket's index vector and those of its neighbours in the texts, scaled to length 1."""
-    index = index_vectors()
-    out = index.copy()
+def context_sums(texts: list[np.ndarray]) -> np.ndarray:
+    """For each bucket, the sum of the index vectors of its neighbours in the texts (whole numbers)."""
+    index, out = index_vectors(), np.zeros((BUCKETS, DIMENSIONS), np.float32)
     for ids in texts:
         for step in range(1, REACH + 1):
             np.add.at(out, ids[step:], index[ids[:-step]])
             np.add.at(out, ids[:-step], index[ids[step:]])
+    return out
+
+
+def word_vectors(sums: np.ndarray) -> np.ndarray:
+    """Each bucket's index vector and its context, scaled to length 1."""
+    out = index_vectors() + sums
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
@@ -150,9 +157,10 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, aside: np.ndarray) ->
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, Model]:
     """Word vectors and a fitted model from at most ``sample`` labelled documents.
 
-    The sample is the half of each class with the smallest hashes of their ids,
-    the same for every layout of the tables; whole texts are read.  Rows are
-    weighted back to the classes' shares among all labels.
+    The sample is, of each class, the ids with the smallest hashes, the same for
+    every layout of the tables; whole texts are read, on the executors: sums of
+    contexts and features come to the driver, no texts.  Rows are weighted back
+    to the classes' shares among all labels.
     """
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
@@ -163,14 +171,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         part = known.where(F.col("y") == y).orderBy(mark, "doc_id").limit(sample // 2)
         picked = part if picked is None else picked.unionByName(part)
     base = narrowed(docs, id_col, text_col).where("text is not null")
-    rows = base.join(F.broadcast(picked), "doc_id").select("text", "y", F.pmod(mark, F.lit(5)).alias("fold")).collect()  # `sample` rows at most, but for repeated ids
-    rows.sort(key=lambda r: (r[2], r[1], r[0]))
-    vectors = context_vectors([words_of(r[0]) for r in rows])
-    x = np.array([features(r[0], vectors) for r in rows]).reshape(len(rows), FEATURES)
-    y = np.array([r[1] for r in rows], float)
+    rows = base.join(F.broadcast(picked), "doc_id").select("text", "y", F.pmod(mark, F.lit(5)).alias("fold"))  # `sample` ids at most
+    rows = stored(rows.repartition(TRAIN_TASKS), "labelled")
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS, DIMENSIONS), np.float32)
+        for b in batches:
+            total += context_sums([words_of(t) for t in b.column("text").to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    sums = np.zeros((BUCKETS, DIMENSIONS), np.float32)
+    for r in map_arrow(rows.coalesce(TRAIN_TASKS), contexts, [("sums", "binary")]).collect():  # 4 MB from each task
+        sums += np.frombuffer(r["sums"], np.float32).reshape(sums.shape)
+    vectors = word_vectors(sums)
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [features(t, sent.value).tolist() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), b.column("y"), b.column("fold")], ["x", "y", "fold"])
+
+    known_rows = sorted(map_arrow(rows, described, [("x", "array<double>"), ("y", "int"), ("fold", "long")]).collect(), key=lambda r: (r["fold"], r["y"], r["x"]))
+    discard(rows)
+    x = np.array([r["x"] for r in known_rows]).reshape(len(known_rows), FEATURES)
+    y = np.array([r["y"] for r in known_rows], float)
     share = {k: shares[k] / max(1, (y == k).sum()) for k in shares}
     weight = np.array([share[k] for k in y.astype(int)])
-    return vectors, fit(x, y, weight, np.array([r[2] == 0 for r in rows], bool))
+    return vectors, fit(x, y, weight, np.array([r["fold"] == 0 for r in known_rows], bool))
 
 
 def score_rows(docs: DataFrame, vectors: np.ndarray, model: Model, text_col: str = "text") -> DataFrame:
