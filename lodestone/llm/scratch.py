@@ -40,7 +40,18 @@ def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``stored`` wrote, once nothing that is still to run reads it."""
+    for df in frames:
+        if path := df.__dict__.pop("_stored_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -11,6 +11,9 @@
    prefixes next to it.  A symbol is eight bytes and each run comes in its eight
    shifts, so that a window is 25 symbols, at any byte.  Windows that share 25
    symbols with a neighbour in suffix order are repeated.
+   A name with very many open contents (a passage that a large part of all
+   documents holds, each time in another context) isn't brought to one task: its
+   windows' 128-bit hashes are dealt out by their values and counted.
 4. Removal.  Bytes under repeated windows go from each text.
 
 Whole documents can't be columns (a round for every byte of the longest, each
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import map_arrow, stored, utf8
+from lodestone.llm.scratch import discard, map_arrow, stored, utf8
 
 #: Bytes of a window, and of the strings whose hashes name it.
 WINDOW, GRAM = 200, 32
@@ -38,6 +41,8 @@ SYMBOL = 8
 RUN_WINDOWS = 256
 #: Bytes of text scanned together, runs grouped before they leave a task, segments of one collection.
 SCAN_BYTES, TASK_RUNS, COLLECTION = 256_000, 1_000_000, 600
+#: Open contents of a name above which its windows are dealt out by their hashes, and the parts of that deal.
+HOT_CONTENTS, PARTS = 2_000, 256
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -326,14 +331,89 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(start, pa.int32()), pa.array(windows, pa.int32())], ["key", "size", "start", "windows"])
 
 
+_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("key", "<i8"), ("size", "<i4"), ("start", "<i4"), ("copies", "<i8")])
+
+
+def window_hashes(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each window of a segment."""
+    value, out = _BYTE[np.frombuffer(segment, np.uint8)], []
+    for base, turn in ((_BASE, 29), (0xD1B54A32D192ED03, 31)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((value ^ (value >> np.uint64(turn))) * _powers(base, len(value)))])
+        h = (sums[WINDOW:] - sums[:-WINDOW]) * _powers(pow(base, -1, 2**64), len(value))[: len(value) - WINDOW + 1]
+        h = (h ^ (h >> np.uint64(turn))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(h ^ (h >> np.uint64(32)))
+    return out[0], out[1]
+
+
+def _dealt(windows: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows in one blob for each part."""
+    order = np.argsort(part, kind="stable")
+    windows, part = windows[order], part[order]
+    heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))[: len(part)]
+    for a, z in zip(heads, np.append(heads[1:], len(part)), strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([windows[a:z].tobytes()], pa.binary())], ["part", "windows"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of the hot names' segments, dealt out by their first hash."""
+    held, n = [], 0
+    for b in batches:
+        for r in b.to_pylist():
+            first, second = window_hashes(r["bytes"])
+            own = np.empty(len(first), _WINDOW)
+            own["a"], own["b"], own["key"], own["size"], own["copies"] = first, second, r["key"], r["size"], r["copies"]
+            own["start"] = r["start"] + np.arange(len(first))
+            held.append(own)
+            n += len(own)
+            if n > 500_000:
+                windows = np.concatenate(held)
+                yield from _dealt(windows, (windows["a"] % np.uint64(PARTS)).astype(np.int64))
+                held, n = [], 0
+    if held:
+        windows = np.concatenate(held)
+        yield from _dealt(windows, (windows["a"] % np.uint64(PARTS)).astype(np.int64))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The windows of each part that this task has."""
+    parts: dict[int, list[bytes]] = {}
+    for b in batches:
+        for part, blob in zip(b.column("part").to_pylist(), b.column("windows").to_pylist(), strict=True):
+            parts.setdefault(part, []).append(blob)
+    for blobs in parts.values():
+        yield np.frombuffer(b"".join(blobs), _WINDOW)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those windows that occur more than once, dealt out by their texts."""
+    for windows in _gathered(batches):
+        windows = windows[np.lexsort((windows["b"], windows["a"]))]
+        new = np.concatenate([[True], (windows["a"][1:] != windows["a"][:-1]) | (windows["b"][1:] != windows["b"][:-1])])
+        group = np.cumsum(new) - 1
+        windows = windows[np.bincount(group, windows["copies"])[group] > 1]
+        if len(windows):
+            yield from _dealt(windows, windows["key"] % PARTS)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated windows that follow each other in a text, as one span."""
+    for windows in _gathered(batches):
+        windows = windows[np.lexsort((windows["start"], windows["size"], windows["key"]))]
+        same = (np.diff(windows["key"]) == 0) & (np.diff(windows["size"]) == 0) & (np.diff(windows["start"]) <= 1)
+        head = np.flatnonzero(np.concatenate([[True], ~same]))
+        last = np.append(head[1:], len(windows)) - 1
+        own = windows[head]
+        yield pa.RecordBatch.from_arrays([pa.array(own["key"]), pa.array(own["size"]), pa.array(own["start"]), pa.array(windows["start"][last] - own["start"] + np.int32(1))], ["key", "size", "start", "windows"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each open run."""
-    names = ["name", "content", "key", "size", "start", "state", "copies", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    names = ["name", "hot", "content", "key", "size", "start", "state", "copies", "bytes"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     for b in batches:
         out = []
         for text, key, size, copies, found in zip(utf8(b.column("text")), *(b.column(c).to_pylist() for c in ("key", "size", "copies", "runs")), strict=True):
-            out += [(r["name"], r["content"], key, size, r["start"], r["state"], copies, text[r["start"] : r["start"] + r["windows"] + WINDOW - 1]) for r in found]
+            out += [(r["name"], r["hot"], r["content"], key, size, r["start"], r["state"], copies, text[r["start"] : r["start"] + r["windows"] + WINDOW - 1]) for r in found]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -381,15 +461,25 @@ def remove_repeats(docs: DataFrame, as_text: bool = False, text_col: str = "text
     scanned = map_arrow(long.select("key", "text"), _scan, _RUN)
     met = stored(map_arrow(scanned.repartition("route"), _meet, _RUN).drop("route", "named"), "runs")
 
+    open_runs = met.where(F.col("state") >= OPEN)
+    hot = stored(open_runs.groupBy("name").count().where(F.col("count") > HOT_CONTENTS).select("name", F.lit(True).alias("hot")), "hot-names")
+    marked = open_runs.join(hot, "name", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    of_text = marked.groupBy(*keys).agg(F.collect_set(F.struct("name", "hot", "content", "start", "windows", "state")).alias("runs"))
     texts = long.groupBy(*keys).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    open_runs = met.where(F.col("state") >= OPEN).groupBy(*keys).agg(F.collect_set(F.struct("name", "content", "start", "windows", "state")).alias("runs"))
-    segment_fields = [("name", "long"), ("content", "long"), ("key", "long"), ("size", "int"), ("start", "int"), ("state", "int"), ("copies", "long"), ("bytes", "binary")]
-    segments = map_arrow(texts.join(open_runs, keys).select("text", *keys, "copies", "runs"), _cut, segment_fields)
-    span_fields = [("key", "long"), ("size", "int"), ("start", "int"), ("windows", "int")]
-    ordered = stored(map_arrow(segments.repartition("name"), _order, span_fields), "ordered")
+    segment_fields = [("name", "long"), ("hot", "boolean"), ("content", "long"), ("key", "long"), ("size", "int"), ("start", "int"), ("state", "int"), ("copies", "long"), ("bytes", "binary")]
+    segments = stored(map_arrow(texts.join(of_text, keys).select("text", *keys, "copies", "runs"), _cut, segment_fields), "segments")
 
-    spans = ordered.unionByName(met.where(F.col("state").isin(WHOLE, PARTNER)).select("key", "size", "start", "windows"))
-    by_text = spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    span_fields = [("key", "long"), ("size", "int"), ("start", "int"), ("windows", "int")]
+    blob_fields = [("part", "int"), ("windows", "binary")]
+    ordered = map_arrow(segments.where("not hot").repartition("name"), _order, span_fields)
+    dealt = map_arrow(segments.where("hot").select("key", "size", "start", "copies", "bytes"), _windows, blob_fields)
+    counted = map_arrow(dealt.repartition("part"), _counted, blob_fields)
+    counted = map_arrow(counted.repartition("part"), _joined, span_fields)
+    whole = met.where(F.col("state").isin(WHOLE, PARTNER)).select("key", "size", "start", "windows")
+
+    spans = ordered.unionByName(counted).unionByName(whole)
+    by_text = stored(spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "windows")).alias("spans")), "spans")
+    discard(met, hot, segments)
     joined = base.join(by_text, keys, "left").select("row", "text", "spans")
     fields = [("row", joined.schema["row"].dataType), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "string" if as_text else "binary")]
     return map_arrow(joined, partial(_remove, as_text=as_text), fields)

@@ -40,9 +40,10 @@ def corpus(seed):
     return [*texts, "".join(near), texts[12], texts[12], make(5000) + passages[0] + passages[0]]
 
 
-@pytest.mark.parametrize("runs", [1_000_000, 40])
-def test_documents(frame, monkeypatch, runs):
+@pytest.mark.parametrize(("runs", "hot"), [(1_000_000, 1_000_000), (40, 2), (40, 5)])
+def test_documents(frame, monkeypatch, runs, hot):
     monkeypatch.setattr(module, "TASK_RUNS", runs)
+    monkeypatch.setattr(module, "HOT_CONTENTS", hot)
     monkeypatch.setattr(module, "SCAN_BYTES", 3000)
     monkeypatch.setattr(module, "COLLECTION", 3)
     for seed in (1, 2):
@@ -79,3 +80,38 @@ def test_collection(seed):
     times = Counter(s[i : i + WINDOW] for s in segments for i in range(len(s) - WINDOW + 1))
     for s, flags in zip(segments, repeated_windows(segments), strict=True):
         assert np.array_equal(flags, [times[s[i : i + WINDOW]] > 1 for i in range(max(0, len(s) - WINDOW + 1))])
+
+
+def batches_of(texts, size):
+    import pyarrow as pa
+
+    for i in range(0, len(texts), size):
+        part = texts[i : i + size]
+        yield pa.RecordBatch.from_arrays([pa.array([hash(t) for t in part], pa.int64()), pa.array(part, pa.string())], ["key", "text"])
+
+
+@pytest.mark.parametrize("runs", [1, 60, 10**6])
+def test_tasks_settle_what_they_can(monkeypatch, runs):
+    """The steps by themselves, with tasks that send their runs on early."""
+    monkeypatch.setattr(module, "TASK_RUNS", runs)
+    monkeypatch.setattr(module, "SCAN_BYTES", 2000)
+    monkeypatch.setattr(module, "COLLECTION", 3)
+    texts = [t or "" for t in corpus(5)]
+    long = [t for t in texts if len(t.encode()) >= WINDOW]
+    scanned = [b for task in (long[::3], long[1::3], long[2::3]) for b in module._scan(batches_of(task, 4))]
+    met = [r for b in module._meet(iter(scanned)) for r in b.to_pylist()]
+    data, copies = {hash(t): t.encode() for t in long}, Counter(map(hash, long))
+    rows = {(r["name"], r["content"], r["key"], r["start"], r["state"], data[r["key"]][r["start"] : r["start"] + r["windows"] + WINDOW - 1]) for r in met if r["state"] >= module.OPEN}
+    import pyarrow as pa
+
+    segments = pa.RecordBatch.from_pylist([{"name": n, "content": c, "key": k, "size": len(data[k]), "start": s, "state": st, "copies": copies[k], "bytes": b} for n, c, k, s, st, b in rows])
+    spans = [(r["key"], r["start"], r["windows"]) for b in module._order(iter([segments])) for r in b.to_pylist()]
+    spans += [(r["key"], r["start"], r["windows"]) for r in met if r["state"] in (module.WHOLE, module.PARTNER)]
+    removed = Counter()
+    for key in data:
+        covered = bytearray(len(data[key]))
+        for k, start, n in spans:
+            if k == key:
+                covered[start : start + n + WINDOW - 1] = b"\1" * (n + WINDOW - 1)
+        removed[key] = sum(covered)
+    assert [removed[hash(t)] for t in texts] == [n for _, n, _, _ in plain(texts)]
