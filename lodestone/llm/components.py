@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import stored
+from lodestone.llm.scratch import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,10 +22,12 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(both.where("a <> b").distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         lower = labels.join(heard, "node").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         step = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = stored(lower.join(step, "label").select("node", F.least("label", "further").alias("label"), (F.least("label", "further") < F.col("was")).alias("changed")), "labels")
-        labels = after.select("node", "label")
+        discard(labels)
+        labels = after
         if after.where("changed").isEmpty():
-            return labels
+            discard(both)
+            return after.select("node", "label")

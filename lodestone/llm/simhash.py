@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.scratch import id_type, map_arrow, narrowed, stored, utf8
+from lodestone.llm.scratch import discard, id_type, map_arrow, narrowed, stored, utf8
 
 #: Node pairs with no more leaf pairs than this are compared leaf by leaf.
 LEAVES = 64
@@ -208,5 +208,7 @@ def near_duplicates(docs: DataFrame, budget: int = 4, words_in_shingle: int = 4,
     linked = stored(nodes.join(labels.withColumnRenamed("node", "bits"), "bits"), "linked")
     least = linked.groupBy("label").agg(F.min("least_id").alias("class_id"))
     classes = linked.join(least, "label").select("bits", "class_id")
-    named = nodes.join(classes, "bits", "left").select("bits", F.coalesce("class_id", "least_id").alias("component_id"))
+    # written, so that nothing but the join stands on the shuffle below, and a fingerprint of very many documents can be split there
+    named = stored(nodes.join(classes, "bits", "left").select("bits", F.coalesce("class_id", "least_id").alias("component_id")), "classes")
+    discard(linked)
     return bits.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
