@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import encoder
-from lodestone.llm.scratch import map_arrow, narrowed, scratch_path
+from lodestone.llm.scratch import map_arrow, narrowed, scratch_path, stored
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -62,10 +62,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
             counts = [len(i) // 4 for i in enc.ids(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([of] * b.num_rows, pa.string()), b.column("digest"), pa.array(counts, pa.int64())], ["version", "digest", "n_tokens"])
 
-    misses = keyed.select("digest", "text").join(_cached(spark, cache_path, of), "digest", "left_anti")
-    distinct = misses.groupBy("digest").agg(F.first("text").alias("text"))
-    map_arrow(distinct, encode, [("version", "string"), ("digest", "binary"), ("n_tokens", "long")]).write.mode("append").parquet(cache_path)
+    # distinct before the join: copies are combined in the tasks that read them
+    distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
+    misses = distinct.join(_cached(spark, cache_path, of), "digest", "left_anti").select("digest", "text")
+    map_arrow(misses, encode, [("version", "string"), ("digest", "binary"), ("n_tokens", "long")]).write.mode("append").parquet(cache_path)
 
-    counts = _cached(spark, cache_path, of)
+    # written, so that nothing but the join stands on the shuffle below, and a content of very many documents can be split there
+    counts = stored(_cached(spark, cache_path, of).join(keyed.select("digest").distinct(), "digest", "left_semi"), "counts")
     sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sized.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
