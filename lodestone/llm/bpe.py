@@ -3,9 +3,11 @@
 A byte-level BPE with the usual split pattern never joins what stands on both
 sides of a space that follows a visible character, so that a text's ids are the
 ids of its space-led words, one after the other.  Each worker keeps the ids of
-words that it has met, and asks the library only for new ones.  Where this
-doesn't hold (odd white space, special strings inside a text, other kinds of
-tokenizer), whole texts go to the library.
+words that it has met, and asks the library only for new ones.  What it keeps is
+bounded in bytes, and strings of over ``LONGEST_KEPT`` characters (texts without
+spaces are one word) are never kept.  Where words aren't independent (odd white
+space, special strings inside a text, other kinds of tokenizer), whole texts go
+to the library.
 """
 
 from __future__ import annotations
@@ -13,14 +15,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words met since the last turn, and kept; at each turn, those not met since the turn before go.
-KEPT_WORDS = 300_000
+#: Bytes of words, with their ids and what Python objects take, met since the last turn;
+#: at each turn, words not met since the turn before go.
+KEPT_BYTES = 64 << 20
+#: Characters of a string whose ids may be kept, and bytes that its objects take besides.
+LONGEST_KEPT, OBJECTS = 200, 250
 #: Texts that are looked up together, so that new words go to the library in one call.
 TOGETHER = 64
 #: Characters that go to the library in one string.
@@ -71,6 +77,12 @@ class Encoder:
             self.words: dict[str, bytes] = {}  # met since the last turn
             self.older: dict[str, bytes] = {}  # met before it
             self.heads: dict[str, bytes] = {}
+            self.size = 0  # bytes of words and heads since the last turn
+
+    def _keep(self, kept: dict[str, bytes], found: Iterable[tuple[str, bytes]]) -> None:
+        for w, ids in found:
+            kept[w] = ids
+            self.size += OBJECTS + 4 * len(w) + len(ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -87,27 +99,30 @@ class Encoder:
         for i, ids in zip(odd, _packed(self.whole([texts[i] for i in odd])), strict=True):
             out[i] = ids
         rest = sorted(set(range(len(texts))) - set(odd))
-        if len(self.words) > KEPT_WORDS:
-            self.older, self.words = self.words, {}
-            self.heads.clear()
-        known, split, new = self.words.get, [], set()
+        if self.size > KEPT_BYTES:
+            self.older, self.words, self.heads, self.size = self.words, {}, {}, 0
+        known, split, new, long = self.words.get, [], set(), {}
         for i in rest:
             head, *words = texts[i].split(" ")
             got = list(map(known, words))
             gaps = [j for j, g in enumerate(got) if g is None]
             new.update([words[j] for j in gaps])
             split.append((i, head, got, [(j, words[j]) for j in gaps]))
+        for w in [w for w in new if len(w) > LONGEST_KEPT]:
+            new.remove(w)
+            long[w] = _packed(self.whole([" " + w]))[0]
         met = [w for w in new if w in self.older]
-        self.words.update((w, self.older[w]) for w in met)
+        self._keep(self.words, [(w, self.older[w]) for w in met])
         new.difference_update(met)
         if new:
             self._learn(new)
-        heads = list({h for _, h, _, _ in split} - self.heads.keys())
-        self.heads.update(zip(heads, _packed(self.whole(heads)), strict=True))
+        heads = list({h for _, h, _, _ in split if len(h) <= LONGEST_KEPT} - self.heads.keys())
+        self._keep(self.heads, zip(heads, _packed(self.whole(heads)), strict=True))
         for i, head, got, gaps in split:
             for j, w in gaps:
-                got[j] = self.words[w]
-            out[i] = self.heads[head] + b"".join(got)
+                got[j] = long[w] if w in long else self.words[w]
+            first = self.heads[head] if head in self.heads else _packed(self.whole([head]))[0]
+            out[i] = first + b"".join(got)
         return out
 
     def _learn(self, new: set[str]) -> None:
@@ -123,10 +138,10 @@ class Encoder:
                 plain.append(w)
         for base in {w[:-1] for w in ended if w[:-1] not in self.words and w[:-1] not in new}:
             if base in self.older:
-                self.words[base] = self.older[base]
+                self._keep(self.words, [(base, self.older[base])])
             else:
                 plain.append(base)
-        self.words.update(zip(alone, _packed(self.whole([" " + w for w in alone])), strict=True))
+        self._keep(self.words, zip(alone, _packed(self.whole([" " + w for w in alone])), strict=True))
         start = 0
         while start < len(plain):
             stop, size = start, 0
@@ -138,12 +153,11 @@ class Encoder:
             cuts = np.flatnonzero(self.led[ids])
             if len(cuts) == len(part):
                 raw, at = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-                self.words.update(zip(part, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+                self._keep(self.words, zip(part, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
             else:
-                self.words.update(zip(part, _packed(self.whole([" " + w for w in part])), strict=True))
+                self._keep(self.words, zip(part, _packed(self.whole([" " + w for w in part])), strict=True))
             start = stop
-        for w in ended:
-            self.words[w] = self.words[w[:-1]] + ends[w[-1]]
+        self._keep(self.words, [(w, self.words[w[:-1]] + ends[w[-1]]) for w in ended])
 
 
 def _packed(ids: list[list[int]]) -> list[bytes]:

@@ -33,6 +33,22 @@ def test_words_give_the_ids_of_the_whole(parts):
     assert np.frombuffer(encoder(PATH).ids([text])[0], "<u4").tolist() == ids(text)
 
 
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    import lodestone.llm.bpe as module
+
+    monkeypatch.setattr(module, "KEPT_BYTES", 200_000)
+    own, rng = module.Encoder(PATH), random.Random(2)
+    held = lambda kept: sum(len(w) + len(v) for w, v in kept.items())
+    for turn in range(30):
+        unspaced = ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(2000)) for _ in range(20)]
+        texts = [*unspaced, *(f"a {t}" for t in unspaced[:3]), *(f"h{rng.random()} word{rng.random()} {rng.random()}," for _ in range(100))]
+        got = own.ids(texts)
+        if turn % 10 == 0:
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids(t) for t in texts]
+        assert all(len(w) <= module.LONGEST_KEPT for kept in (own.words, own.older, own.heads) for w in kept)
+        assert held(own.words) + held(own.heads) <= own.size < 400_000 and held(own.older) < 400_000
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_counts(spark, frame, name):
     path = public_tokenizers.path(name)
