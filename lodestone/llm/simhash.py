@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,9 @@ from lodestone.llm.scratch import discard, id_type, map_arrow, narrowed, stored,
 LEAVES = 64
 #: Node pairs, or leaf pairs, that a task holds at once.
 FRONTIER = 500_000
+#: Keys of one trie; one that has more is split into several, if the keys that
+#: these have together are at most so many times as many in the mean.
+TRIE_KEYS, LEAST_GAIN = 4096, 0.75
 
 
 def fingerprint(text: bytes, words_in_shingle: int = 4) -> int:
@@ -66,70 +69,94 @@ def connect(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = Non
             label = deeper
 
 
-def trie_links(keys: np.ndarray, fixed: int, budget: int) -> np.ndarray:
-    """Labels of sorted, distinct keys: equal for keys that links connect.
+def walk(keys: np.ndarray, fixed: int, errors: int, meet: Callable[[np.ndarray, np.ndarray], None], done: Callable[..., np.ndarray] | None = None) -> None:
+    """Walk a binary trie's pairs of nodes down together, from nodes of ``fixed`` bits.
 
-    Keys are leaves of a binary trie; keys link if their first ``fixed`` bits
-    are equal and at most ``budget`` of the others differ.  Pairs of nodes are
-    walked down together with the number of bits in which their paths differ;
-    a pair goes when that exceeds the budget, or when all its leaves are
-    connected already.  Nearest pairs are linked first (one differing bit,
-    then all), so that dense groups of copies are walked only until connected.
+    ``keys`` are its leaves, sorted.  A pair goes when the bits in which its
+    nodes' paths differ exceed ``errors``, or when ``done`` (of the four ends
+    of the nodes' ranges of leaves) says so.  ``meet`` gets the leaves, as
+    places x < y, that differ in at most ``errors`` bits.
     """
-    n, label = len(keys), np.arange(len(keys))
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] >> np.uint64(64 - fixed) != keys[:-1] >> np.uint64(64 - fixed)])) if n else np.zeros(0, np.int64)
+    n = len(keys)
+    if n < 2:
+        return
+    roots = keys >> np.uint64(64 - fixed) if fixed else np.zeros(n, np.uint64)
+    heads = np.flatnonzero(np.concatenate([[True], roots[1:] != roots[:-1]]))
     tails = np.append(heads[1:], n)
     big = tails - heads > 1
     heads, tails = heads[big], tails[big]
-    for errors in sorted({min(1, budget), budget}):
-        stack = [(fixed, heads, tails, heads, tails, np.zeros(len(heads), np.int64))]
-        changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])]) if n else label
-        while stack:
-            depth, a0, a1, b0, b1, diff = stack.pop()
-            joined = (label[a0] == label[b0]) & (changes[a0] == changes[a1 - 1]) & (changes[b0] == changes[b1 - 1])
-            keep = ~joined
+    stack = [(fixed, heads, tails, heads, tails, np.zeros(len(heads), np.int64))]
+    while stack:
+        depth, a0, a1, b0, b1, diff = stack.pop()
+        if done:
+            keep = ~done(a0, a1, b0, b1)
             a0, a1, b0, b1, diff = (x[keep] for x in (a0, a1, b0, b1, diff))
+        if not len(a0):
+            continue
+        if len(a0) > FRONTIER:
+            half = len(a0) // 2
+            stack += [(depth, a0[:half], a1[:half], b0[:half], b1[:half], diff[:half]), (depth, a0[half:], a1[half:], b0[half:], b1[half:], diff[half:])]
+            continue
+        small = ((a1 - a0) * (b1 - b0) <= LEAVES) | (depth == 64)
+        if small.any():
+            _leaves(keys, errors, meet, a0[small], a1[small], b0[small], b1[small])
+            a0, a1, b0, b1, diff = (x[~small] for x in (a0, a1, b0, b1, diff))
             if not len(a0):
                 continue
-            if len(a0) > FRONTIER:
-                half = len(a0) // 2
-                stack += [(depth, a0[:half], a1[:half], b0[:half], b1[:half], diff[:half]), (depth, a0[half:], a1[half:], b0[half:], b1[half:], diff[half:])]
-                continue
-            small = ((a1 - a0) * (b1 - b0) <= LEAVES) | (depth == 64)
-            if small.any():
-                label = _leaf_links(keys, label, errors, a0[small], a1[small], b0[small], b1[small])
-                changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
-                a0, a1, b0, b1, diff = (x[~small] for x in (a0, a1, b0, b1, diff))
-                if not len(a0):
-                    continue
-            bit = np.uint64(1 << (63 - depth))
-            low = ~((bit << np.uint64(1)) - np.uint64(1)) if depth else np.uint64(0)
-            am = np.clip(np.searchsorted(keys, (keys[a0] & low) | bit), a0, a1)
-            bm = np.clip(np.searchsorted(keys, (keys[b0] & low) | bit), b0, b1)
-            own = (a0 == b0) & (a1 == b1)
-            parts = [(a0, am, b0, bm, diff), (am, a1, bm, b1, diff), (a0, am, bm, b1, diff + 1)]
-            parts.append(tuple(x[~own] for x in (am, a1, b0, bm, diff + 1)))
-            a0, a1, b0, b1, diff = (np.concatenate(x) for x in zip(*parts, strict=True))
-            keep = (a0 < a1) & (b0 < b1) & (diff <= errors) & ~((a0 == b0) & (a1 - a0 == 1) & (b1 - b0 == 1))
-            stack.append((depth + 1, *(x[keep] for x in (a0, a1, b0, b1, diff))))
-    return label
+        bit = np.uint64(1 << (63 - depth))
+        low = ~((bit << np.uint64(1)) - np.uint64(1)) if depth else np.uint64(0)
+        am = np.clip(np.searchsorted(keys, (keys[a0] & low) | bit), a0, a1)
+        bm = np.clip(np.searchsorted(keys, (keys[b0] & low) | bit), b0, b1)
+        own = (a0 == b0) & (a1 == b1)
+        parts = [(a0, am, b0, bm, diff), (am, a1, bm, b1, diff), (a0, am, bm, b1, diff + 1)]
+        parts.append(tuple(x[~own] for x in (am, a1, b0, bm, diff + 1)))
+        a0, a1, b0, b1, diff = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keep = (a0 < a1) & (b0 < b1) & (diff <= errors) & ~((a0 == b0) & (a1 - a0 == 1) & (b1 - b0 == 1))
+        stack.append((depth + 1, *(x[keep] for x in (a0, a1, b0, b1, diff))))
+
+
+def _leaves(keys: np.ndarray, errors: int, meet: Callable[[np.ndarray, np.ndarray], None], a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
+    sizes = (a1 - a0) * (b1 - b0)
+    turns = np.cumsum(sizes) // FRONTIER
+    cuts = np.flatnonzero(np.concatenate([[True], turns[1:] != turns[:-1]]))
+    for i, z in zip(cuts, np.append(cuts[1:], len(sizes)), strict=True):
+        own = sizes[i:z]
+        k = np.repeat(np.arange(i, z), own)
+        within = np.arange(len(k)) - np.repeat(np.cumsum(own) - own, own)
+        width = (b1 - b0)[k]
+        x, y = a0[k] + within // width, b0[k] + within % width
+        near = (x < y) & (np.bitwise_count(keys[x] ^ keys[y]) <= errors)
+        if near.any():
+            meet(x[near], y[near])
 
 
-def _leaf_links(keys: np.ndarray, label: np.ndarray, errors: int, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
-    sizes = (a1 - a0) * (b1 - b0)
-    for i in range(0, len(sizes), FRONTIER // LEAVES):
-        s = slice(i, i + FRONTIER // LEAVES)
-        k = np.repeat(np.arange(len(sizes[s])), sizes[s])
-        within = np.arange(len(k)) - np.repeat(np.cumsum(sizes[s]) - sizes[s], sizes[s])
-        width = (b1 - b0)[s][k]
-        x, y = a0[s][k] + within // width, b0[s][k] + within % width
-        near = np.bitwise_count(keys[x] ^ keys[y]) <= errors
-        label = connect(len(keys), x[near], y[near], label)
+def trie_links(keys: np.ndarray, fixed: int, budget: int) -> np.ndarray:
+    """Labels of sorted, distinct keys: equal for keys that links connect.
+
+    Keys link if their first ``fixed`` bits are equal and at most ``budget`` of
+    the others differ.  Pairs of nodes whose leaves are all connected already
+    aren't walked, and nearest pairs are linked first (one differing bit, then
+    all), so that dense groups of copies are walked only until connected.
+    """
+    label = np.arange(len(keys))
+    changes = label
+
+    def meet(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal label, changes
+        if (label[x] != label[y]).any():
+            label = connect(len(keys), x, y, label)
+            changes = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+
+    def done(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        return (label[a0] == label[b0]) & (changes[a0] == changes[a1 - 1]) & (changes[b0] == changes[b1 - 1])
+
+    for errors in sorted({min(1, budget), budget}):
+        walk(keys, fixed, errors, meet, done)
     return label
 
 
-def _blocks(budget: int, n: int) -> list[tuple[int, ...]]:
-    """Orders of the bits' blocks, each with the blocks that must agree first.
+def _choices(budget: int, n: int) -> list[tuple[int, ...]]:
+    """The choices of blocks of the bits; keys that agree in the blocks of one share a trie.
 
     With ``budget`` errors in ``budget + spare`` blocks, some ``spare`` of them
     agree; more blocks agree the more keys there are, so that the number of
@@ -143,6 +170,93 @@ def _blocks(budget: int, n: int) -> list[tuple[int, ...]]:
     return list(combinations(range(budget + spare), spare))
 
 
+def _orders(ones: np.ndarray, n: int, fixed: int, parts: int) -> list[np.ndarray] | None:
+    """Orders of a trie's levels behind the first ``fixed``, each with another of so many blocks of bits first.
+
+    Bits are dealt to the blocks by how evenly they are set (``ones`` of ``n``
+    keys), so that each block tells keys apart.  None if agreeing in a block
+    would leave most keys together: splitting brings nothing then.
+    """
+    share = ones[fixed:] / n
+    even = fixed + np.argsort(-np.minimum(share, 1 - share), kind="stable")
+    blocks = [np.sort(even[j::parts]) for j in range(parts)]
+    agree = 1 - 2 * (ones / n) * (1 - ones / n)
+    if sum(agree[block].prod() for block in blocks) > LEAST_GAIN:
+        return None
+    rest = np.arange(fixed, 64)
+    return [np.concatenate([np.arange(fixed), block, rest[~np.isin(rest, block)]]) for block in blocks]
+
+
+def _in_order(words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The words' bits (from the top) in another order."""
+    bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").ravel().astype(np.uint64)
+
+
+_DEALT = [("bits", "long"), ("word", "long"), ("trie", "long"), ("fixed", "int"), ("prefix", "long")]
+_AT = ["trie", "fixed", "prefix"]
+
+
+def _rows(bits: np.ndarray, word: np.ndarray, trie: np.ndarray, fixed: int) -> pa.RecordBatch:
+    prefix = word >> np.uint64(64 - fixed)
+    columns = [pa.array(x.view(np.int64)) for x in (bits, word, trie)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(bits), fixed, np.int32)), pa.array(prefix.view(np.int64))], [n for n, _ in _DEALT])
+
+
+def _dealt(keys: DataFrame, budget: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The tries that each key goes to, and its ``word``: its bits in the order of that trie's levels.
+
+    The keys of one trie agree in the word's first ``fixed`` bits, the prefix.
+    One of over ``TRIE_KEYS`` keys is dealt again by its other bits: of
+    ``budget + 1`` blocks of these, one at least agrees in any two keys that
+    link.  So it goes on while that tells keys apart, however alike many are.
+    Returns also what was written on the way, to be deleted after use.
+    """
+    choices, parts = _choices(budget, keys.count()), budget + 1
+    edges = [round(64 * i / (1 + max(c[-1] for c in choices))) for i in range(2 + max(c[-1] for c in choices))]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = b.column("bits").to_numpy().view(np.uint64)
+            for k, choice in enumerate(choices):
+                head = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in choice])
+                order = np.concatenate([head, np.setdiff1d(np.arange(64), head)])
+                yield _rows(bits, _in_order(bits, order), np.full(len(bits), k, np.uint64), len(head))
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                orders = _orders(np.array([r[f"ones{i}"] for i in range(64)]), r["n"], r["fixed"], parts)
+                if orders:
+                    columns = [pa.array([r[c]], t) for c, t in zip(_AT, (pa.int64(), pa.int32(), pa.int64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([np.concatenate(orders).tolist()], pa.list_(pa.int32()))], [*_AT, "orders"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits, word, trie, fixed, prefix = (b.column(c).to_numpy() for c, _ in _DEALT)
+            at = np.lexsort((prefix, trie))
+            cuts = np.flatnonzero(np.concatenate([[True], (trie[at][1:] != trie[at][:-1]) | (prefix[at][1:] != prefix[at][:-1])]))
+            for own in np.split(at, cuts[1:]) if len(at) else []:
+                f, orders = int(fixed[own[0]]), b.column("orders")[int(own[0])].values.to_numpy().reshape(parts, 64)
+                for j, order in enumerate(orders):
+                    sub = trie[own].view(np.uint64) * np.uint64(parts + 1) + np.uint64(j + 1 + len(choices))
+                    yield _rows(bits[own].view(np.uint64), _in_order(word[own].view(np.uint64), order), sub, f + len(range(j, 64 - f, parts)))
+
+    fields = [n for n, _ in _DEALT]
+    out, dealt, written = None, map_arrow(keys, first, _DEALT), []
+    while True:
+        large = dealt.groupBy(_AT).count().where(F.col("count") > TRIE_KEYS).select(_AT)
+        ones = [F.sum(F.shiftrightunsigned("word", 63 - i).bitwiseAND(1)).alias(f"ones{i}") for i in range(64)]
+        sums = dealt.join(large, _AT, "left_semi").groupBy(_AT).agg(F.count("*").alias("n"), *ones)
+        split = stored(map_arrow(sums, plan, [(n, t) for n, t in _DEALT if n in _AT] + [("orders", "array<int>")]).select(*_AT, "orders"), "large-tries")
+        written.append(split)
+        if split.isEmpty():
+            return dealt if out is None else out.unionByName(dealt), written
+        fits = dealt.join(split, _AT, "left_anti").select(fields)
+        out = fits if out is None else out.unionByName(fits)
+        dealt = map_arrow(dealt.join(split, _AT).select(*fields, "orders"), again, _DEALT)
+
+
 def near_links(bits: DataFrame, budget: int = 4) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints within ``budget`` bits.
 
@@ -151,44 +265,27 @@ def near_links(bits: DataFrame, budget: int = 4) -> DataFrame:
     meets in one trie at least.  A trie gives each of its keys one link to the
     smallest connected with it, not all pairs.
     """
-    keys = bits.select("bits").distinct()
-    choices = _blocks(budget, keys.count())
-    blocks = 1 + max(c[-1] for c in choices)
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    widths = [z - a for a, z in zip(edges, edges[1:], strict=False)]
-    orders = [(*c, *(i for i in range(blocks) if i not in c)) for c in choices]
-    fixed = [sum(widths[i] for i in c) for c in choices]
-
-    def field(i: int) -> F.Column:
-        return F.shiftrightunsigned("bits", edges[i]).bitwiseAND((1 << widths[i]) - 1)
-
-    def prefix(c: tuple[int, ...]) -> F.Column:
-        out = F.lit(0).cast("long")
-        for i in c:
-            out = F.shiftleft(out, widths[i]).bitwiseOR(field(i))
-        return out
-
-    spread = keys.select("bits", F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), prefix(c).alias("prefix")) for k, c in enumerate(choices)])).alias("at"))
+    keys = stored(bits.select("bits").distinct(), "keys")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("choice").to_numpy(), b.column("bits").to_numpy()) for b in batches]
+        got = [[b.column(c).to_numpy() for c in ("trie", "fixed", "word", "bits")] for b in batches]
         if not got:
             return
-        choice, all_bits = (np.concatenate(x) for x in zip(*got, strict=True))
-        for k in range(len(choices)):
-            own = all_bits[choice == k].view(np.uint64)
-            turned = np.zeros(len(own), np.uint64)
-            for i in orders[k]:
-                turned = (turned << np.uint64(widths[i])) | ((own >> np.uint64(edges[i])) & np.uint64((1 << widths[i]) - 1))
-            order = np.argsort(turned)
-            label = trie_links(turned[order], fixed[k], budget)
+        trie, fixed, word, own = (np.concatenate(x) for x in zip(*got, strict=True))
+        word = word.view(np.uint64)
+        order = np.lexsort((word, trie))
+        cuts = np.flatnonzero(np.concatenate([[True], trie[order][1:] != trie[order][:-1]]))
+        for places in np.split(order, cuts[1:]):
+            label = trie_links(word[places], int(fixed[places[0]]), budget)
             linked = np.flatnonzero(label != np.arange(len(label)))
             if len(linked):
-                back = own[order].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(back[linked]), pa.array(back[label[linked]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[places[linked]]), pa.array(own[places[label[linked]]])], ["a", "b"])
 
-    dealt = spread.select("bits", "at.choice", "at.prefix").repartition("choice", "prefix").select("bits", "choice")
-    return map_arrow(dealt, join, [("a", "long"), ("b", "long")])
+    dealt, written = _dealt(keys, budget)
+    by_trie = dealt.repartition("trie", "prefix").select("trie", "fixed", "word", "bits")
+    links = stored(map_arrow(by_trie, join, [("a", "long"), ("b", "long")]), "near-links")
+    discard(keys, *written)
+    return links
 
 
 def near_duplicates(docs: DataFrame, budget: int = 4, words_in_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,11 +301,13 @@ def near_duplicates(docs: DataFrame, budget: int = 4, words_in_shingle: int = 4,
     """
     bits = stored(fingerprints(docs, words_in_shingle, id_col, text_col), "fingerprints")
     nodes = bits.groupBy("bits").agg(F.min("doc_id").alias("least_id"))
-    labels = components(near_links(bits, budget))
+    links = near_links(bits, budget)
+    labels = components(links)
+    discard(links)
     linked = stored(nodes.join(labels.withColumnRenamed("node", "bits"), "bits"), "linked")
     least = linked.groupBy("label").agg(F.min("least_id").alias("class_id"))
     classes = linked.join(least, "label").select("bits", "class_id")
     # written, so that nothing but the join stands on the shuffle below, and a fingerprint of very many documents can be split there
     named = stored(nodes.join(classes, "bits", "left").select("bits", F.coalesce("class_id", "least_id").alias("component_id")), "classes")
-    discard(linked)
+    discard(linked, labels)
     return bits.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")

@@ -5,12 +5,14 @@ import re
 
 import numpy as np
 import xxhash
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestone.llm import simhash
 from lodestone.llm.components import components
-from lodestone.llm.simhash import _blocks, fingerprint, near_duplicates, near_links, trie_links
+from lodestone.llm.simhash import _choices, fingerprint, near_duplicates, near_links, trie_links
 
 
 def plain(text, k=4):
@@ -54,6 +56,27 @@ def near_values(n, seed, flips=6):
     return sorted(set(out))
 
 
+def family(n, seed):
+    """Values that differ in the last 20 bits alone: one trie has them all."""
+    rng, base = random.Random(seed), random.Random(seed).getrandbits(64)
+    return [base >> 20 << 20 | rng.getrandbits(20) for _ in range(n)]
+
+
+def test_bits_in_another_order():
+    rng = random.Random(1)
+    word, order = rng.getrandbits(64), rng.sample(range(64), 64)
+    want = "".join(f"{word:064b}"[i] for i in order)
+    assert f"{int(simhash._in_order(np.array([word], np.uint64), np.array(order))[0]):064b}" == want
+
+
+def test_large_tries_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TRIE_KEYS", 50)
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in set(family(3000, 5))]
+    dealt, written = simhash._dealt(spark.createDataFrame(signed, "bits long"), 4)
+    assert len(signed) > 1000 and len(written) > 1
+    assert dealt.groupBy("trie", "prefix").count().agg(F.max("count")).first()[0] <= 100
+
+
 def test_trie_links_as_all_pairs():
     for seed in range(6):
         values = near_values(300, seed)
@@ -65,13 +88,15 @@ def test_trie_links_as_all_pairs():
 
 def test_every_pair_meets():
     for n in (10, 10_000_000, 10**11):
-        for choice in _blocks(4, n):
+        for choice in _choices(4, n):
             assert len(choice) >= 1
-    assert len(_blocks(4, 10)) == 5 and len(_blocks(4, 10**9)) > 5
+    assert len(_choices(4, 10)) == 5 and len(_choices(4, 10**9)) > 5
 
 
-def test_links_over_partitions(spark):
-    values = near_values(400, 9)
+@pytest.mark.parametrize("trie_keys", [4096, 20])
+def test_links_over_partitions(spark, monkeypatch, trie_keys):
+    monkeypatch.setattr(simhash, "TRIE_KEYS", trie_keys)
+    values = sorted(set(near_values(400, 9) + family(200, 3)))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     links = near_links(spark.createDataFrame([(v,) for v in signed * 2], "bits long"))
     found = {r["node"]: r["label"] for r in components(links).collect()}
