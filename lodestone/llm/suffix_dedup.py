@@ -11,9 +11,11 @@
    prefixes next to it.  A symbol is eight bytes and each run comes in its eight
    shifts, so that a window is 25 symbols, at any byte.  Windows that share 25
    symbols with a neighbour in suffix order are repeated.
-   A name with very many open contents (a passage that a large part of all
-   documents holds, each time in another context) isn't brought to one task: its
-   windows' 128-bit hashes are dealt out by their values and counted.
+   A name with more open contents than one collection takes (a passage that a
+   large part of all documents holds, each time in another context) isn't
+   brought to one task: its windows' 128-bit hashes are dealt out by their
+   values and counted.  What a task has several of is combined first, so that a
+   window costs the task that counts it a row from each task at most.
 4. Removal.  Bytes under repeated windows go from each text.
 
 Whole documents can't be columns (a round for every byte of the longest, each
@@ -28,6 +30,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,9 @@ SYMBOL = 8
 RUN_WINDOWS = 256
 #: Bytes of text scanned together, runs grouped before they leave a task, segments of one collection.
 SCAN_BYTES, TASK_RUNS, COLLECTION = 256_000, 1_000_000, 600
-#: Open contents of a name above which its windows are dealt out by their hashes, and the parts of that deal.
-HOT_CONTENTS, PARTS = 2_000, 256
+#: Open contents of a name above which its windows are dealt out by their hashes (what one collection takes),
+#: windows of such names that a task holds at once and in the mean counts, and parts of that deal at least.
+HOT_CONTENTS, HELD_WINDOWS, PARTS = COLLECTION, 500_000, 256
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -345,17 +349,39 @@ def window_hashes(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _dealt(windows: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _dealt(windows: np.ndarray, part: np.ndarray, known: bool) -> Iterator[pa.RecordBatch]:
     """Windows in one blob for each part."""
     order = np.argsort(part, kind="stable")
     windows, part = windows[order], part[order]
     heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))[: len(part)]
     for a, z in zip(heads, np.append(heads[1:], len(part)), strict=True):
-        yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([windows[a:z].tobytes()], pa.binary())], ["part", "windows"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([known], pa.bool_()), pa.array([windows[a:z].tobytes()], pa.binary())], ["part", "known", "windows"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of the hot names' segments, dealt out by their first hash."""
+def _new(windows: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted windows differs from the one before."""
+    return np.concatenate([[True], (windows["a"][1:] != windows["a"][:-1]) | (windows["b"][1:] != windows["b"][:-1])])[: len(windows)]
+
+
+def _windows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """All windows of the hot names' segments, dealt out by their first hash.
+
+    Those that this task has several of are known to be repeated, and go on by
+    their texts (``known``); one that stands for them, of size 0, tells others.
+    """
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        windows = np.concatenate(held)
+        windows = windows[np.lexsort((windows["b"], windows["a"]))]
+        new = _new(windows)
+        group = np.cumsum(new) - 1
+        several = np.bincount(group, windows["copies"])[group] > 1
+        told = windows[new & several]
+        told["size"], told["copies"] = 0, 2
+        yield from _dealt(windows[several], windows["key"][several] % parts, known=True)
+        asked = np.concatenate([windows[~several], told])
+        yield from _dealt(asked, (asked["a"] % np.uint64(parts)).astype(np.int64), known=False)
+
     held, n = [], 0
     for b in batches:
         for r in b.to_pylist():
@@ -365,13 +391,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own["start"] = r["start"] + np.arange(len(first))
             held.append(own)
             n += len(own)
-            if n > 500_000:
-                windows = np.concatenate(held)
-                yield from _dealt(windows, (windows["a"] % np.uint64(PARTS)).astype(np.int64))
+            if n > HELD_WINDOWS:
+                yield from flush()
                 held, n = [], 0
     if held:
-        windows = np.concatenate(held)
-        yield from _dealt(windows, (windows["a"] % np.uint64(PARTS)).astype(np.int64))
+        yield from flush()
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -380,19 +404,23 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for b in batches:
         for part, blob in zip(b.column("part").to_pylist(), b.column("windows").to_pylist(), strict=True):
             parts.setdefault(part, []).append(blob)
-    for blobs in parts.values():
-        yield np.frombuffer(b"".join(blobs), _WINDOW)
+    for part in list(parts):
+        yield np.frombuffer(b"".join(parts.pop(part)), _WINDOW)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Those windows that occur more than once, dealt out by their texts."""
-    for windows in _gathered(batches):
+    asked = []
+    for b in batches:
+        known = b.column("known")
+        yield b.filter(known)
+        asked.append(b.filter(pc.invert(known)))
+    for windows in _gathered(iter(asked)):
         windows = windows[np.lexsort((windows["b"], windows["a"]))]
-        new = np.concatenate([[True], (windows["a"][1:] != windows["a"][:-1]) | (windows["b"][1:] != windows["b"][:-1])])
-        group = np.cumsum(new) - 1
-        windows = windows[np.bincount(group, windows["copies"])[group] > 1]
+        group = np.cumsum(_new(windows)) - 1
+        windows = windows[(np.bincount(group, windows["copies"])[group] > 1) & (windows["size"] > 0)]
         if len(windows):
-            yield from _dealt(windows, windows["key"] % PARTS)
+            yield from _dealt(windows, windows["key"] % parts, known=True)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +448,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        removed, spans, kept = [], [], []
+        removed, spans, kept, null = [], [], [], b.column("text").is_null()
         for text, found in zip(utf8(b.column("text")), b.column("spans").to_pylist(), strict=True):
             text, last, pieces, n = text or b"", 0, [], 0
             at = -1  # where the span that is open ends
@@ -437,6 +465,7 @@ def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Rec
             removed.append(len(text) - len(kept[-1]))
         sizes = pa.array([len(k) + r for k, r in zip(kept, removed, strict=True)], pa.int64())
         rest = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        rest = pc.if_else(null, None, rest) if as_text else rest
         yield pa.RecordBatch.from_arrays([b.column("row"), sizes, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), rest], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
@@ -449,31 +478,32 @@ def remove_repeats(docs: DataFrame, as_text: bool = False, text_col: str = "text
     n_removed, n_spans (maximal removed runs), kept (the remaining bytes; with
     ``as_text`` a string, without the characters that a cut has gone through).
 
-    Null texts are empty.  Texts of under 200 bytes are kept whole.  Rows are
+    Null texts are empty, with ``as_text`` what is kept of them is null.  Texts of under 200 bytes are kept whole.  Rows are
     told apart by their texts alone (64-bit hash and size), so repeated or null
     ids do no harm; equal texts have equal results.
     """
     keys = ["key", "size"]
-    base = docs.select(F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c != text_col]).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    base = base.withColumns({"key": F.xxhash64("text"), "size": F.octet_length("text")})
+    base = docs.select(F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c != text_col]).alias("row"), docs[text_col].cast("string").alias("text"))
+    base = base.withColumns({"key": F.xxhash64("text"), "size": F.coalesce(F.octet_length("text"), F.lit(0))})
     long = base.where(F.col("size") >= WINDOW)
 
     scanned = map_arrow(long.select("key", "text"), _scan, _RUN)
     met = stored(map_arrow(scanned.repartition("route"), _meet, _RUN).drop("route", "named"), "runs")
 
     open_runs = met.where(F.col("state") >= OPEN)
-    hot = stored(open_runs.groupBy("name").count().where(F.col("count") > HOT_CONTENTS).select("name", F.lit(True).alias("hot")), "hot-names")
-    marked = open_runs.join(hot, "name", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hot = stored(open_runs.groupBy("name").count().where(F.col("count") > HOT_CONTENTS).select("name", "count", F.lit(True).alias("hot")), "hot-names")
+    marked = open_runs.join(hot.drop("count"), "name", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     of_text = marked.groupBy(*keys).agg(F.collect_set(F.struct("name", "hot", "content", "start", "windows", "state")).alias("runs"))
     texts = long.groupBy(*keys).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     segment_fields = [("name", "long"), ("hot", "boolean"), ("content", "long"), ("key", "long"), ("size", "int"), ("start", "int"), ("state", "int"), ("copies", "long"), ("bytes", "binary")]
     segments = stored(map_arrow(texts.join(of_text, keys).select("text", *keys, "copies", "runs"), _cut, segment_fields), "segments")
 
     span_fields = [("key", "long"), ("size", "int"), ("start", "int"), ("windows", "int")]
-    blob_fields = [("part", "int"), ("windows", "binary")]
+    blob_fields = [("part", "int"), ("known", "boolean"), ("windows", "binary")]
+    parts = max(PARTS, -(-(hot.agg(F.sum("count")).first()[0] or 0) * RUN_WINDOWS // HELD_WINDOWS))
     ordered = map_arrow(segments.where("not hot").repartition("name"), _order, span_fields)
-    dealt = map_arrow(segments.where("hot").select("key", "size", "start", "copies", "bytes"), _windows, blob_fields)
-    counted = map_arrow(dealt.repartition("part"), _counted, blob_fields)
+    dealt = map_arrow(segments.where("hot").select("key", "size", "start", "copies", "bytes"), partial(_windows, parts=parts), blob_fields)
+    counted = map_arrow(dealt.repartition("part"), partial(_counted, parts=parts), blob_fields)
     counted = map_arrow(counted.repartition("part"), _joined, span_fields)
     whole = met.where(F.col("state").isin(WHOLE, PARTNER)).select("key", "size", "start", "windows")
 

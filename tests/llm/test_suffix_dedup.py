@@ -46,6 +46,7 @@ def test_documents(frame, monkeypatch, runs, hot):
     monkeypatch.setattr(module, "HOT_CONTENTS", hot)
     monkeypatch.setattr(module, "SCAN_BYTES", 3000)
     monkeypatch.setattr(module, "COLLECTION", 3)
+    monkeypatch.setattr(module, "HELD_WINDOWS", 2000)
     for seed in (1, 2):
         texts = corpus(seed)
         got = {r["row"]["doc_id"]: r for r in remove_repeats(frame(texts)).collect()}
@@ -61,10 +62,27 @@ def test_as_text_drops_cut_characters(frame):
 
 def test_nothing_and_repeated_ids(frame):
     assert remove_repeats(frame([])).count() == 0
+    assert [r["kept"] for r in remove_repeats(frame([None, ""]), as_text=True).orderBy("row.doc_id").collect()] == [None, ""]
+    assert [bytes(r["kept"]) for r in remove_repeats(frame([None])).collect()] == [b""]
     rows = remove_repeats(frame(["p" * 250, "p" * 250, "q"], [None, 1, 1])).collect()
     assert sorted((r["row"]["doc_id"] or 0, r["n_removed"]) for r in rows) == [(0, 250), (1, 0), (1, 250)]
 
 
+def test_a_window_of_many_documents_is_combined_in_each_task():
+    """However many contexts a passage has, its windows go to the task that counts them once from each task."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    passage = bytes(rng.randrange(256) for _ in range(220))
+    rows = [{"key": k, "size": 500, "start": 0, "copies": 1, "bytes": bytes([k] * 30) + passage + bytes([k] * 30)} for k in range(240)]
+    tasks = [[b for b in module._windows(iter([pa.RecordBatch.from_pylist(rows[i::3])]), 4)] for i in range(3)]
+    asked = np.concatenate([np.frombuffer(r["windows"], module._WINDOW) for t in tasks for b in t for r in b.to_pylist() if not r["known"]])
+    first, _ = module.window_hashes(passage)
+    assert all((asked["a"] == h).sum() == 3 for h in first)
+    spans = [r for b in module._joined(module._counted((b for t in tasks for b in t), 4)) for r in b.to_pylist()]
+    assert sorted((r["key"], r["start"], r["windows"]) for r in spans) == [(k, 30, 21) for k in range(240)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_collection(seed):
     rng = random.Random(seed)
