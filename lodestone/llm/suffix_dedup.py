@@ -350,7 +350,9 @@ def window_hashes(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(windows: np.ndarray, part: np.ndarray, known: bool) -> Iterator[pa.RecordBatch]:
-    """Windows in one blob for each part."""
+    """Windows in one blob for each part; none of no windows."""
+    if not len(windows):
+        return
     order = np.argsort(part, kind="stable")
     windows, part = windows[order], part[order]
     heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))[: len(part)]

@@ -77,6 +77,8 @@ def test_a_window_of_many_documents_is_combined_in_each_task():
     rows = [{"key": k, "size": 500, "start": 0, "copies": 1, "bytes": bytes([k] * 30) + passage + bytes([k] * 30)} for k in range(240)]
     tasks = [[b for b in module._windows(iter([pa.RecordBatch.from_pylist(rows[i::3])]), 4)] for i in range(3)]
     asked = np.concatenate([np.frombuffer(r["windows"], module._WINDOW) for t in tasks for b in t for r in b.to_pylist() if not r["known"]])
+    alone = {"key": 1, "size": 220, "start": 0, "copies": 1, "bytes": passage}
+    assert [r["known"] for b in module._windows(iter([pa.RecordBatch.from_pylist([alone])]), 1) for r in b.to_pylist()] == [False]
     first, _ = module.window_hashes(passage)
     assert all((asked["a"] == h).sum() == 3 for h in first)
     spans = [r for b in module._joined(module._counted((b for t in tasks for b in t), 4)) for r in b.to_pylist()]
