@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import id_type, map_arrow, narrowed
+from lodestone.llm.scratch import discard, id_type, map_arrow, narrowed, stored
 
 #: Hash buckets of n-grams, and the lengths of n-grams counted.
 BUCKETS = 1 << 15
@@ -20,25 +20,36 @@ CHUNK = 2_000_000
 #: Added to each count.
 SMOOTHING = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages at most: the matrix that is broadcast has ``BUCKETS`` numbers (256 KB) for each.
+LANGUAGES = 256
+
+_WORDLY = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character's category is a letter's (L...); numbers such as ½ or Ⅷ are none."""
+    return any(m.group().isalpha() for m in _WORDLY.finditer(text))
 
 
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """Buckets of all n-grams of the small-letter texts, an array for each length.
 
-    Two zeros stand after each text, so that no n-gram sees two texts; the
-    returned offsets say where each text begins.
+    An n-gram begins at each character; zeros follow the last ones.  The two
+    zeros that stand after each text begin none (bucket ``BUCKETS``), so that no
+    n-gram sees two texts.  The returned offsets say where each text begins.
     """
     small = [t.lower() for t in texts]
     offsets = np.cumsum([0, *(len(t) + 2 for t in small)])
     code = np.frombuffer("".join(t + "\0\0" for t in small).encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.concatenate([code, np.zeros(max(LENGTHS), np.uint32)])
     n, out, h = offsets[-1], [], np.zeros(offsets[-1], np.uint32)
+    ends = offsets[1:, None] - np.array([2, 1])
     for i in range(max(LENGTHS)):
         h = (h ^ code[i : n + i]) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         if i + 1 in LENGTHS:
             out.append((h >> np.uint32(7)) & np.uint32(BUCKETS - 1))
+            out[-1][ends] = BUCKETS
     return out, offsets
 
 
@@ -69,7 +80,7 @@ def train_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                 total[-1] += len(own)
                 for run in _chunks(own):
                     for g in grams([own[i] for i in run])[0]:
-                        total[:-1] += np.bincount(g, minlength=BUCKETS)
+                        total[:-1] += np.bincount(g, minlength=BUCKETS + 1)[:-1]
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(np.where(at == BUCKETS, -1, at).astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
@@ -82,17 +93,22 @@ def identify_language(docs: DataFrame, train: DataFrame, id_col: str = "doc_id",
     """Predict each text's language after learning from ``train`` (text, lang).
 
     Every training row is counted, on the executors; counts come to the driver
-    by (language, bucket), at most ``BUCKETS`` for each language.  The matrix of
-    log probabilities (languages by buckets) is broadcast; texts are scored in
-    batches: look-ups by bucket, summed by text.
+    by (language, bucket), at most ``BUCKETS`` for each of at most ``LANGUAGES``
+    languages; more are a ValueError before anything is collected.  The matrix
+    of log probabilities (languages by buckets) is broadcast; texts are scored
+    in batches: look-ups by bucket, summed by text.
 
     Returns doc_id, lang_pred, score (the class's posterior probability).  A
     null text, or one without a letter, is ``und`` with score 0; so is every
     text if nothing could be learned.  Equal posteriors: the language that
-    sorts first.
+    sorts first.  A row's result doesn't depend on the rows next to it.
     """
     spark, base = docs.sparkSession, narrowed(docs, id_col, text_col)
-    rows = train_counts(train).collect()
+    counted = stored(train_counts(train), "language-counts")
+    if counted.where("bucket < 0").count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    rows = counted.collect()
+    discard(counted)
     langs = sorted({r[0] for r in rows})
     counts, seen = np.zeros((len(langs), BUCKETS)), np.zeros(len(langs))
     at = {x: i for i, x in enumerate(langs)}
@@ -102,6 +118,7 @@ def identify_language(docs: DataFrame, train: DataFrame, id_col: str = "doc_id",
         else:
             counts[at[lang], bucket] = n
     logs = np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BUCKETS))
+    logs = np.hstack([logs, np.zeros((len(langs), 1))])
     sent = spark.sparkContext.broadcast((langs, logs, np.log(seen / max(1, seen.sum()))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +126,7 @@ def identify_language(docs: DataFrame, train: DataFrame, id_col: str = "doc_id",
         for b in batches:
             texts = b.column("text").to_pylist()
             named, sure = ["und"] * len(texts), [0.0] * len(texts)
-            told = [i for i, t in enumerate(texts) if langs and t and _LETTER.search(t)]
+            told = [i for i, t in enumerate(texts) if langs and t and has_letter(t)]
             for run in _chunks([texts[i] for i in told]):
                 own = [told[i] for i in run]
                 found, offsets = grams([texts[i] for i in own])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -33,7 +35,7 @@ SIGNATURES = {
 Found = tuple[str, int]  # a type and a length in bytes
 
 
-def _png(d: bytes, at: int) -> Found | None:
+def _png(d: bytes, at: int, _: Marks) -> Found | None:
     i = at + 8
     while i + 12 <= len(d):
         n, kind = struct.unpack_from(">I4s", d, i)
@@ -46,7 +48,7 @@ def _png(d: bytes, at: int) -> Found | None:
     return None
 
 
-def _gif(d: bytes, at: int) -> Found | None:
+def _gif(d: bytes, at: int, _: Marks) -> Found | None:
     if at + 13 > len(d):
         return None
 
@@ -71,7 +73,7 @@ def _gif(d: bytes, at: int) -> Found | None:
     return None
 
 
-def _jpeg(d: bytes, at: int) -> Found | None:
+def _jpeg(d: bytes, at: int, _: Marks) -> Found | None:
     i = at + 2
     while i + 4 <= len(d) and d[i] == 0xFF:
         mark, n = d[i + 1], struct.unpack_from(">H", d, i + 2)[0]
@@ -92,7 +94,7 @@ def _jpeg(d: bytes, at: int) -> Found | None:
     return None
 
 
-def _riff(d: bytes, at: int) -> Found | None:
+def _riff(d: bytes, at: int, _: Marks) -> Found | None:
     if at + 12 > len(d):
         return None
     n, form = struct.unpack_from("<I4s", d, at + 4)
@@ -108,30 +110,45 @@ def _riff(d: bytes, at: int) -> Found | None:
     return {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/avi"}[form], n + 8
 
 
-def _bmp(d: bytes, at: int) -> Found | None:
+def _bmp(d: bytes, at: int, _: Marks) -> Found | None:
     if at + 30 > len(d):
         return None
-    size, _, pixels, header, width, height, planes, depth = struct.unpack_from("<IIIIiiHH", d, at + 2)
+    size, _reserved, pixels, header, width, height, planes, depth = struct.unpack_from("<IIIIiiHH", d, at + 2)
     if header not in (12, 40, 52, 56, 64, 108, 124) or planes != 1 or depth not in (1, 4, 8, 16, 24, 32) or not 14 + header <= pixels <= size <= len(d) - at or width <= 0 or not height:
         return None
     return "image/bmp", size
 
 
-def _pdf(d: bytes, at: int) -> Found | None:
-    end = d.find(b"%%EOF", at)
-    return None if end < 0 or b"startxref" not in d[at:end] else ("application/pdf", end + 5 - at)
+class Marks:
+    """Where byte strings occur in some bytes, each located once however often it is asked for."""
 
+    def __init__(self, d: bytes):
+        self.d, self.places = d, {}
 
-def _zip(d: bytes, at: int) -> Found | None:
-    end = d.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(d):
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place from ``at`` on, or the end of the bytes."""
+        if mark not in self.places:
+            self.places[mark] = [m.start() for m in re.finditer(re.escape(mark), self.d)]
+        places = self.places[mark]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else len(self.d)
+
+
+def _pdf(d: bytes, at: int, marks: Marks) -> Found | None:
+    end = marks.after(b"%%EOF", at)
+    return None if end == len(d) or marks.after(b"startxref", at) + 9 > end else ("application/pdf", end + 5 - at)
+
+
+def _zip(d: bytes, at: int, marks: Marks) -> Found | None:
+    end = marks.after(b"PK\x05\x06", at)
+    if end + 22 > len(d):
         return None
     size, start, note = struct.unpack_from("<IIH", d, end + 12)
     stop = end + 22 + note
     return None if at + start + size != end or stop > len(d) else ("application/zip", stop - at)
 
 
-def _ogg(d: bytes, at: int) -> Found | None:
+def _ogg(d: bytes, at: int, _: Marks) -> Found | None:
     i = at
     while d[i : i + 4] == b"OggS" and i + 27 <= len(d) and d[i + 4] == 0:
         n = d[i + 26]
@@ -144,7 +161,7 @@ def _ogg(d: bytes, at: int) -> Found | None:
     return None
 
 
-def _gzip(d: bytes, at: int) -> Found | None:
+def _gzip(d: bytes, at: int, _: Marks) -> Found | None:
     reader, i = zlib.decompressobj(31), at
     try:
         while not reader.eof:  # what it unpacks to isn't kept
@@ -158,7 +175,7 @@ def _gzip(d: bytes, at: int) -> Found | None:
     return "application/gzip", i - len(reader.unused_data) - at
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], Found | None]] = {"png": _png, "gif": _gif, "jpeg": _jpeg, "riff": _riff, "bmp": _bmp, "pdf": _pdf, "zip": _zip, "ogg": _ogg, "gzip": _gzip}
+VALIDATORS: dict[str, Callable[[bytes, int, Marks], Found | None]] = {"png": _png, "gif": _gif, "jpeg": _jpeg, "riff": _riff, "bmp": _bmp, "pdf": _pdf, "zip": _zip, "ogg": _ogg, "gzip": _gzip}
 
 
 def signatures() -> ahocorasick.Automaton:
@@ -175,10 +192,10 @@ def sniff(data: bytes, automaton: ahocorasick.Automaton) -> list[tuple[int, int,
     One that lies inside another found before it is kept too (it is carved out
     of it); a match whose structure doesn't hold is no media.
     """
-    out = []
+    out, marks = [], Marks(data)
     for last, (n, kind) in automaton.iter(data.decode("latin-1")):
         at = last - n + 1
-        if found := VALIDATORS[kind](data, at):
+        if found := VALIDATORS[kind](data, at, marks):
             out.append((at, found[1], found[0]))
     return out
 

@@ -25,17 +25,21 @@ HIDDEN, EPOCHS, SEED = 24, 400, 20
 FEATURES = DIMENSIONS + 7
 #: Tasks that read the sample; what they send to the driver is bounded by their number and the sample's.
 TRAIN_TASKS = 8
-#: Words whose buckets a worker keeps.
-KEPT_WORDS = 400_000
+#: Words whose contexts are summed together, and buckets in one range of sums.
+TOGETHER, RANGE = 250_000, 1024
+#: Words whose buckets a worker keeps, and their characters at most.
+KEPT_WORDS, LONGEST_KEPT = 400_000, 64
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
 
 
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        self[word] = n = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        n = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        if len(word) <= LONGEST_KEPT:
+            if len(self) > KEPT_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -48,28 +52,74 @@ def words_of(text: str) -> np.ndarray:
     return np.fromiter(map(_BUCKETS.__getitem__, found), np.int64, len(found))
 
 
+def index_entries() -> tuple[np.ndarray, np.ndarray]:
+    """(dimension, sign) of the few entries of each bucket's index vector, from the seed alone."""
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, DIMENSIONS, (BUCKETS, ENTRIES)), rng.choice([-1.0, 1.0], (BUCKETS, ENTRIES))
+
+
 def index_vectors() -> np.ndarray:
-    """A sparse ternary vector for each bucket, from the seed alone."""
-    rng, out = np.random.default_rng(SEED), np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    at = rng.integers(0, DIMENSIONS, (BUCKETS, ENTRIES))
-    np.add.at(out, (np.repeat(np.arange(BUCKETS), ENTRIES), at.ravel()), rng.choice([-1.0, 1.0], BUCKETS * ENTRIES))
+    """Each bucket's sparse ternary vector."""
+    at, sign = index_entries()
+    out = np.zeros((BUCKETS, DIMENSIONS))
+    np.add.at(out, (np.repeat(np.arange(BUCKETS), ENTRIES), at.ravel()), sign.ravel())
     return out
 
 
 def context_sums(texts: list[np.ndarray]) -> np.ndarray:
     """For each bucket, the sum of the index vectors of its neighbours in the texts (whole numbers)."""
-    index, out = index_vectors(), np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    for ids in texts:
-        for step in range(1, REACH + 1):
-            np.add.at(out, ids[step:], index[ids[:-step]])
-            np.add.at(out, ids[:-step], index[ids[step:]])
+    (at, sign), out = index_entries(), np.zeros(BUCKETS * DIMENSIONS, np.int64)
+    gap = np.full(REACH, -1)  # so that no word is the neighbour of another text's
+    ids = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
+    for step in range(1, REACH + 1):
+        both = (ids[step:] >= 0) & (ids[:-step] >= 0)
+        right, left = ids[step:][both], ids[:-step][both]
+        for word, near in ((right, left), (left, right)):
+            for e in range(ENTRIES):
+                out += np.bincount(word * DIMENSIONS + at[near, e], sign[near, e], minlength=len(out)).astype(np.int64)
+    return out.reshape(BUCKETS, DIMENSIONS)
+
+
+def corpus_contexts(texts: DataFrame) -> np.ndarray:
+    """The context sums of all texts: summed in each task, then on the executors by ranges of buckets."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n = np.zeros((BUCKETS, DIMENSIONS), np.int64), [], 0
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                words = words_of(t)
+                for i in range(0, len(words), TOGETHER):  # a long text in pieces that share their borders
+                    held.append(words[max(0, i - REACH) : i + TOGETHER])
+                    if i:
+                        total -= context_sums([words[max(0, i - REACH) : i]])
+                    n += len(held[-1])
+                    if n > TOGETHER:
+                        total += context_sums(held)
+                        held, n = [], 0
+        total += context_sums(held)
+        for k in range(0, BUCKETS, RANGE):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + RANGE].tobytes()], pa.binary())], ["first", "sums"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(b.column("first").to_pylist(), b.column("sums").to_pylist(), strict=True):
+                more = np.frombuffer(part, np.int64)
+                totals[k] = totals[k] + more if k in totals else more
+        for k, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["first", "sums"])
+
+    fields = [("first", "int"), ("sums", "binary")]
+    out = np.zeros((BUCKETS, DIMENSIONS), np.int64)
+    for r in map_arrow(map_arrow(texts.select("text"), own, fields).repartition("first"), summed, fields).collect():  # 8 MB
+        out[r["first"] : r["first"] + RANGE] = np.frombuffer(r["sums"], np.int64).reshape(-1, DIMENSIONS)
     return out
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
     """Each bucket's index vector and its context, scaled to length 1."""
     out = index_vectors() + sums
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
 def features(text: str, vectors: np.ndarray) -> np.ndarray:
@@ -155,12 +205,14 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, aside: np.ndarray) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, Model]:
-    """Word vectors and a fitted model from at most ``sample`` labelled documents.
+    """Word vectors from all documents, and a model fitted on at most ``sample`` labelled ones.
 
     The sample is, of each class, the ids with the smallest hashes, the same for
-    every layout of the tables; whole texts are read, on the executors: sums of
-    contexts and features come to the driver, no texts.  Rows are weighted back
-    to the classes' shares among all labels.
+    every layout of the tables; of rows that repeat an id, the one with the
+    least text.  Whole texts are read, on the executors: sums of contexts (of a
+    fixed size) and the sample's features come to the driver, no texts.  Rows
+    are weighted back to the classes' shares among all labels.  Null ids and
+    null texts aren't learned from.
     """
     known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
@@ -171,19 +223,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         part = known.where(F.col("y") == y).orderBy(mark, "doc_id").limit(sample // 2)
         picked = part if picked is None else picked.unionByName(part)
     base = narrowed(docs, id_col, text_col).where("text is not null")
-    rows = base.join(F.broadcast(picked), "doc_id").select("text", "y", F.pmod(mark, F.lit(5)).alias("fold"))  # `sample` ids at most
-    rows = stored(rows.repartition(TRAIN_TASKS), "labelled")
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-        for b in batches:
-            total += context_sums([words_of(t) for t in b.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-    sums = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    for r in map_arrow(rows.coalesce(TRAIN_TASKS), contexts, [("sums", "binary")]).collect():  # 4 MB from each task
-        sums += np.frombuffer(r["sums"], np.float32).reshape(sums.shape)
-    vectors = word_vectors(sums)
+    rows = base.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))  # `sample` ids at most
+    rows = stored(rows.select("text", "y", F.pmod(mark, F.lit(5)).alias("fold")).repartition(TRAIN_TASKS), "labelled")
+    vectors = word_vectors(corpus_contexts(base))
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -69,3 +70,15 @@ def test_texts(frame):
         assert (r["media_bytes"], r["media_sha256"]) == (len(data) + 44, hashlib.sha256(wav(data)).hexdigest())
         assert r["feature"].startswith("audio/wav;") and r["feature"].endswith("carved=0")
     assert got[2]["feature"] == got[6]["feature"] and stored_media(frame([])).count() == 0
+
+
+def test_marks_without_an_end_take_linear_time():
+    automaton = signatures()
+    for mark in (b"%PDF-", b"PK\x03\x04"):
+        took = []
+        for n in (1_000_000, 5_000_000):
+            data = mark * (n // len(mark))
+            began = time.perf_counter()
+            assert sniff(data, automaton) == []
+            took.append(time.perf_counter() - began)
+        assert took[1] < 60 and took[1] < 15 * took[0]
