@@ -15,3 +15,7 @@ class InvalidDocument(ValueError):
 
 class InvalidSize(ValueError):
     """A result size below 0 or above the window."""
+
+
+class InvalidQuery(ValueError):
+    """A query with more distinct words than a search takes."""

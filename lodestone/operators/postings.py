@@ -59,6 +59,47 @@ class Index:
     fields: tuple[Field, ...] = FIELDS
 
 
+@dataclass
+class Layered:
+    """A written index, and the index of what has changed since it was written.
+
+    ``changed`` has the ids whose postings in ``base`` count no more.  The
+    tail's postings are those of their present documents; its document
+    frequencies and statistics are differences, to be added to the base's.
+    """
+
+    base: Index
+    tail: Index
+    changed: DataFrame
+
+    @property
+    def fields(self) -> tuple[Field, ...]:
+        return self.base.fields
+
+    def _present(self, of: str) -> DataFrame:
+        kept = getattr(self.base, of).join(self.changed, "doc_id", "left_anti")
+        return kept.unionByName(getattr(self.tail, of))
+
+    @property
+    def docs(self) -> DataFrame:
+        return self._present("docs")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._present("postings")
+
+    @property
+    def terms(self) -> DataFrame:
+        both = self.base.terms.unionByName(self.tail.terms)
+        return both.groupBy("field", "term").agg(F.sum("df").alias("df"))
+
+    @property
+    def stats(self) -> DataFrame:
+        both = self.base.stats.drop("avgdl").unionByName(self.tail.stats)
+        sums = both.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl"))
+        return sums.where("n_docs > 0").withColumn("avgdl", F.col("sum_dl") / F.col("n_docs"))
+
+
 @dataclass
 class Scan:
     """Documents without an index: each search analyses them."""

@@ -19,6 +19,6 @@ class Field:
 #: The declared fields, with the weights that search gives them.
 FIELDS = (Field("title", "text", 2.0), Field("content", "text"), Field("tags", "keyword"))
 
-DOCS = "doc_id string, title array<string>, content array<string>, tags array<string>, source string"
 OP_LOG = "doc_id string, seq long, op string, source string"
-POSTINGS = "field string, term string, doc_id string, tf int, dl int"
+#: The log as it is read: ``writes`` and ``since`` are of rows that stand for all of an id's writes up to a state.
+LOG_ROWS = OP_LOG + ", origin string, writes long, since long"

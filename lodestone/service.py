@@ -16,7 +16,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from threading import Lock
 from urllib.parse import parse_qs, unquote, urlsplit
 
-from lodestone.errors import DocumentNotFound, InvalidDocument, InvalidSize
+from lodestone.errors import DocumentNotFound, InvalidDocument, InvalidQuery, InvalidSize
 from lodestone.schema import DEFAULT_SIZE
 from lodestone.session import connect
 from lodestone.store import DocumentStore
@@ -44,7 +44,7 @@ class Handler(BaseHTTPRequestHandler):
             status, body = e.status, {"detail": e.detail}
         except DocumentNotFound as e:
             status, body = 404, {"detail": str(e)}
-        except (InvalidDocument, InvalidSize) as e:
+        except (InvalidDocument, InvalidQuery, InvalidSize) as e:
             status, body = 400, {"detail": str(e)}
         except Exception:
             log.exception("%s %s", self.command, self.path)

@@ -32,7 +32,7 @@ def connect(retries: int = RETRIES, wait: float = WAIT, start: Callable[[], Spar
                 return spark
         except Exception as e:
             log.debug("attempt %d: %s", attempt, e)
-        log.warning("[%d/%d] no session, next attempt in %s s", attempt, retries, wait)
         if attempt < retries:
+            log.warning("Spark does not answer yet (%d of %d tries left); waiting %s s", retries - attempt, retries, wait)
             time.sleep(wait)
     raise RuntimeError(f"no Spark session after {retries} attempts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.json_values import body, dynamic_type, has_object, is_object, values
+from lodestone.functions.json_values import body, depth, has_object, is_object, members, values
 from lodestone.schema import FIELDS
 
 
@@ -23,9 +23,18 @@ def rejected(bodies: DataFrame) -> DataFrame:
 
 
 def dynamic_fields(bodies: DataFrame) -> DataFrame:
-    """(field, type, n): the fields that bodies have, with the types that their values show."""
-    members = bodies.select(F.explode(F.try_variant_get(body(F.col("source")), "$", "map<string,variant>")).alias("field", "value"))
-    return members.select("field", dynamic_type(F.col("value")).alias("type")).where("type is not null").groupBy("field", "type").agg(F.count("*").alias("n"))
+    """(field, type, n): the fields that bodies have, with the types that their values show.
+
+    An object's members are fields of their own (``object.member``), each
+    element of an array counts as a value, nulls don't.  One pass takes all
+    levels apart; how many there are is measured first.
+    """
+    levels = bodies.agg(F.max(depth(F.col("source")))).first()[0] or 0
+    none = F.lit(None).cast("string")
+    rows = bodies.where(is_object(F.col("source"))).select(none.alias("field"), body(F.col("source")).alias("value"), none.alias("type"))
+    for _ in range(levels + 1):
+        rows = rows.select(F.inline(members(F.col("field"), F.col("value"), F.col("type"))))
+    return rows.where("type is not null").groupBy("field", "type").agg(F.count("*").alias("n"))
 
 
 def from_documents(table: DataFrame) -> DataFrame:
