@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.analysis import standard
-from lodestone.functions.json_values import values
+from lodestone.functions.analysis import standard, standard_values
+from lodestone.functions.json_values import has_object, values
 from lodestone.functions.scoring import idf as idf_of
 from lodestone.operators import op_log
-from lodestone.operators.postings import Scan, document_frequencies, field_lengths, field_terms, postings, statistics
+from lodestone.operators.postings import Index, Layered, Scan, document_frequencies, field_lengths, field_terms, postings, statistics
 from lodestone.operators.search import field_scores, search, top
 from lodestone.schema import DEFAULT_SIZE
+from lodestone.session import shared_folder
+from lodestone.sources import index_files
 from lodestone.sources.corpus import dynamic_fields as fields_of
-from lodestone.sources.corpus import from_documents, from_events
+from lodestone.sources.corpus import from_bodies, from_documents, from_events, json_lines
+from lodestone.store import DocumentStore
+from lodestone.streaming.ingest import ingest
 
 #: The queries' strings: words of several documents, a language tag, a source tag, a repeated word.
 WORDS, TAG, TWICE, NOTHING = "the tion And the", "src7", "the the and", "... !!"
@@ -35,6 +40,56 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(_table(spark, sf_dir, "events"))
 
 
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
+
+
+#: Indexes that this application has written, by what they are of.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str, label: str, docs: DataFrame) -> Index:
+    """The written index of the documents; written once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _WRITTEN:
+        to = _folder(spark, label)
+        index_files.save(docs, to)
+        _WRITTEN[key] = to
+    return index_files.load(spark, _WRITTEN[key])
+
+
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    return _written(spark, sf_dir, "index", _docs(spark, sf_dir))
+
+
+def _after_writes(spark: SparkSession, sf_dir: str) -> Layered:
+    """An index of an earlier state of ``documents`` and the tail that brings it to the present one.
+
+    In the earlier state every fifth text was another, every seventh document
+    wasn't there yet, and there were others, which have been deleted since.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    gone = docs.where("doc_id % 3 = 0").withColumn("doc_id", -1 - F.col("doc_id"))
+    stale = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("And the tion once\n"), "text")).otherwise(F.col("text")))
+    base = _written(spark, sf_dir, "stale-index", from_documents(stale.unionByName(gone)))
+    written = docs.where("doc_id % 7 = 0 or doc_id % 5 = 0")
+    key = (spark.sparkContext.applicationId, sf_dir, "tail")
+    if key not in _WRITTEN:
+        to = _folder(spark, "tail")
+        index_files.save_tail(base, written.select("doc_id").unionByName(gone.select("doc_id")), from_documents(written), to)
+        _WRITTEN[key] = to
+    return index_files.load_tail(base, _WRITTEN[key])
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with nested arrays and objects, made from ``documents``."""
+    source = F.expr("""
+        concat('{"title": "', source, '", "tags": [["', lang, '", ["', source, '", [', n_chars, ', null]]], true, ', n_chars, '.5], "meta": {"n": ', n_chars,
+            ', "day": "2024-01-', lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0'), '", "deep": {"list": [1, "x", [2.0, "2024-01-02T03:04:05Z"], {"ok": false}], "none": null}}}')
+    """)
+    return _table(spark, sf_dir, "documents").select("doc_id", source.alias("source"))
+
+
 def _joined(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *[F.array_join(c, " ").alias(c) for c in ("title", "content", "tags")])
 
@@ -77,6 +132,47 @@ def dynamic_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields_of(_log(spark, sf_dir))
 
 
+def json_body_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = from_bodies(_bodies(spark, sf_dir))
+    return docs.select(
+        "doc_id",
+        F.array_join("title", " ").alias("title"),
+        F.array_join("tags", " ").alias("tags"),
+        F.size("tags").cast("long").alias("n_tags"),
+        F.size("content").cast("long").alias("n_content"),
+        has_object(F.col("source"), "meta").alias("meta_is_rejected"),
+        has_object(F.col("source"), "tags").alias("tags_are_rejected"),
+    )
+
+
+def dynamic_fields_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields_of(_bodies(spark, sf_dir))
+
+
+def json_lines_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "lines")
+    _table(spark, sf_dir, "documents").selectExpr("""concat('{"id": "d', doc_id, '", "tags": ["', lang, '", "', source, '"]}') AS value""").write.text(path)
+    read = from_bodies(json_lines(spark, path))
+    return read.select("doc_id", F.array_join("tags", " ").alias("tags"))
+
+
+def ingest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log arrives as files of JSON lines; the store has what is left of it."""
+    at = _folder(spark, "ingest")
+    _log(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "seq", "op", "source").write.json(f"{at}/inbox")
+    store = DocumentStore(spark, f"{at}/store")
+    ingest(store, f"{at}/inbox", f"{at}/progress").awaitTermination()
+    return op_log.snapshot(store.log())
+
+
+def compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the log compacted, then that with the rest: last writes and versions as of the whole."""
+    log = _log(spark, sf_dir).withColumns({"origin": F.lit("log"), "writes": F.lit(None).cast("long"), "since": F.lit(0).cast("long")})
+    half = log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
+    rows = op_log.compacted(op_log.compacted(log.where(F.col("seq") <= half)).unionByName(log.where(F.col("seq") > half)))
+    return rows.select("doc_id", "seq", "op", "source", F.col("writes").alias("version"))
+
+
 def tokenize_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(standard(F.col("text")), " ").alias("terms"))
 
@@ -86,8 +182,10 @@ def tokenize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multivalue_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", F.size(standard(F.col("text"))).cast("long").alias("n"))
-    return turns.groupBy("conv_id").agg(F.count("*").alias("n_values"), F.sum("n").alias("dl"))
+    """Each line of a text is a value of its field."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("values"))
+    told = lines.select("doc_id", F.size("values").cast("long").alias("n_values"), standard_values(F.col("values")).alias("terms"))
+    return told.select("doc_id", "n_values", F.array_join("terms", " ").alias("terms"), F.size("terms").cast("long").alias("dl")).where("dl > 0")
 
 
 def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,19 +256,48 @@ def _ranked(found: DataFrame) -> DataFrame:
 
 
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search(Scan(_docs(spark, sf_dir)), WORDS, DEFAULT_SIZE)
-    return _ranked(found).select("rank", "doc_id", "_score", *[F.array_join(c, " ").alias(c) for c in ("title", "content", "tags")])
+    return _topk(Scan(_docs(spark, sf_dir)))
 
 
 def search_size_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(top(Scan(_docs(spark, sf_dir)), WORDS, LARGE)).select("rank", "doc_id", "_score")
 
 
+def _topk(source: Scan | Index | Layered) -> DataFrame:
+    return _ranked(search(source, WORDS, DEFAULT_SIZE)).select("rank", "doc_id", "_score", *[F.array_join(c, " ").alias(c) for c in ("title", "content", "tags")])
+
+
+def search_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk(_index(spark, sf_dir))
+
+
+def search_index_size_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(top(_index(spark, sf_dir), WORDS, LARGE)).select("rank", "doc_id", "_score")
+
+
+def best_fields_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_scores(_index(spark, sf_dir), WORDS)
+
+
+def duplicate_terms_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_scores(_index(spark, sf_dir), TWICE).select("doc_id", "_score")
+
+
+def search_after_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk(_after_writes(spark, sf_dir))
+
+
+def best_fields_after_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_scores(_after_writes(spark, sf_dir), WORDS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         get_document, get_missing, upsert_snapshot, upsert_ack, delete_snapshot, delete_ack, delete_missing, json_body_fields, dynamic_fields,
+        json_body_nested, dynamic_fields_nested, json_lines_read, ingest_snapshot, compacted_log,
         tokenize_standard, tokenize_pages, multivalue_flatten, keyword_terms, field_length, term_frequency, document_frequency,
         collection_stats, idf, bm25_single_field, boosted_title, keyword_match, match_or, duplicate_terms, zero_term_query,
-        best_fields, search_topk, search_size_k,
+        best_fields, search_topk, search_size_k, search_index_topk, search_index_size_k, best_fields_index, duplicate_terms_index,
+        search_after_writes, best_fields_after_writes,
     )
     return {f.__name__: f for f in each}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -21,6 +22,22 @@ def setting(name: str, default: str, spark: SparkSession | None = None) -> str:
     return found or os.getenv("LODESTONE_" + name.upper().replace(".", "_"), default)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where the session names none, a local run gets a folder of this machine; on
+    a cluster executors would each write to their own disk, so that it must be
+    named there.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def connect(retries: int = RETRIES, wait: float = WAIT, start: Callable[[], SparkSession] | None = None) -> SparkSession:
     """A session that answers; RuntimeError after ``retries`` attempts."""
     start = start or SparkSession.builder.appName("lodestone").getOrCreate
