@@ -13,26 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.session import shared_folder
+
 #: Rows in one Arrow batch that goes to a Python worker.  Texts can be long, so
 #: that a batch of the default 10,000 rows would not be bounded well.
 BATCH_ROWS = 512
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none (tests, local runs) a folder of this
-    machine is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
+    """A new place in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -45,13 +35,16 @@ def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what ``stored`` wrote, once nothing that is still to run reads it."""
     for df in frames:
         if path := df.__dict__.pop("_stored_at", None):
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(df.sparkSession, path)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import encoder
-from lodestone.llm.scratch import map_arrow, narrowed, scratch_path, stored
+from lodestone.llm.scratch import delete, map_arrow, narrowed, scratch_path, stored
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -44,8 +44,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     the cache's key.  Contents that the cache lacks are made distinct, encoded
     once and appended to the cache; then every document is joined to its count.
 
-    ``cache_path``: a Parquet folder that outlives the run; a new one in the
-    shared folder if None.  Returns doc_id, n_bytes, n_tokens, over_limit
+    ``cache_path``: a Parquet folder that outlives the run; if None, the one that
+    the session's ``lodestone.token_cache`` names, else a new one in the shared
+    folder, which is deleted at the end.  Returns doc_id, n_bytes, n_tokens, over_limit
     (more than ``limit`` tokens).
 
     Each input row gives one row, repeated ids and texts included; no rows, no
@@ -53,7 +54,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     copies of any size is one content.
     """
     spark, base = docs.sparkSession, narrowed(docs, id_col, text_col)
-    of, cache_path = tokenizer_version(tokenizer_path), cache_path or scratch_path(spark, "token-cache")
+    of, named = tokenizer_version(tokenizer_path), cache_path or spark.conf.get("lodestone.token_cache", None)
+    cache_path = named or scratch_path(spark, "token-cache")
     keyed = base.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.unhex(F.sha2("text", 256)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,5 +71,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     # written, so that nothing but the join stands on the shuffle below, and a content of very many documents can be split there
     counts = stored(_cached(spark, cache_path, of).join(keyed.select("digest").distinct(), "digest", "left_semi"), "counts")
+    if not named:
+        delete(spark, cache_path)
     sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sized.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

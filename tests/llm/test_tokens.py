@@ -11,10 +11,11 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lodestone.llm.bpe import encoder
+from lodestone.llm.entries import op8_token_counts
 from lodestone.llm.packing import least_slack, pack_documents
 from lodestone.llm.scratch import scratch_path
 from lodestone.llm.token_counts import CACHE_SCHEMA, count_tokens, tokenizer_version
-from lodestone.llm.token_files import Segment, encode_segment, read_token_files, write_token_files
+from lodestone.llm.token_files import Segment, encode_segment, read_document, read_ids, read_token_files, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -76,6 +77,19 @@ def test_cache_is_used_and_appended(spark, frame):
     assert digests().where("n_tokens < 77").count() == 4
 
 
+def test_the_query_meets_a_filled_cache(spark):
+    cache, sf = scratch_path(spark, "cache"), "/root/testdata/sf0.001"
+    spark.conf.set("lodestone.token_cache", cache)
+    try:
+        first = sorted(map(tuple, op8_token_counts(spark, sf).collect()))
+        stored = spark.read.schema(CACHE_SCHEMA).parquet(cache)
+        known = stored.count()
+        assert sorted(map(tuple, op8_token_counts(spark, sf).collect())) == first and spark.read.schema(CACHE_SCHEMA).parquet(cache).count() == known
+        assert known == spark.read.parquet(f"{sf}/documents.parquet").select("text").distinct().count()
+    finally:
+        spark.conf.unset("lodestone.token_cache")
+
+
 def test_counts_of_nothing(frame):
     assert count_tokens(frame([]), PATH).count() == 0
 
@@ -87,10 +101,33 @@ def test_segments(values):
     assert segment.all().tolist() == values and len(segment) == len(values)
     for i in range(0, len(values), 7):
         assert segment[i] == values[i]
+    for a in range(0, len(values) + 1, 1 + len(values) // 9):
+        assert segment.span(a, min(len(values), a + 600)).tolist() == values[a : a + 600]
     with pytest.raises(IndexError):
         segment[len(values)]
 
 
+def test_ids_are_read_by_their_place(spark, frame, monkeypatch):
+    """A token costs some hundred bytes of a file of many thousands, and no other segment is opened."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(400))) for _ in range(120)]
+    monkeypatch.setattr("lodestone.llm.token_files.SEGMENT_IDS", 20_000)
+    path = scratch_path(spark, "files")
+    write_token_files(frame(texts, [i // 2 for i in range(120)]), path, PATH, end_id=2)
+    rows = sorted(read_token_files(spark, path, with_ids=True).collect(), key=lambda r: r["start"])
+    whole = [i for r in rows for i in r["ids"]]
+    assert len(whole) > 60_000 and [r["doc_id"] for r in rows] == [i // 2 for i in range(120)]
+    for at in (0, 1, 20_500, len(whole) - 1):
+        got, taken = read_ids(spark, path, at)
+        assert got == [whole[at]] and taken < 400
+    got, taken = read_ids(spark, path, 19_000, 5000)
+    assert got == whole[19_000:24_000] and taken < 4 * 5000
+    assert read_document(spark, path, 7) == [r["ids"] for r in rows if r["doc_id"] == 7] and read_document(spark, path, 999) == []
+    for at in (-1, len(whole)):
+        with pytest.raises(IndexError):
+            read_ids(spark, path, at)
+
+
 def test_files(spark, frame, monkeypatch):
     import lodestone.llm.token_files as module
 
