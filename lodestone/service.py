@@ -1,8 +1,9 @@
-"""The store over HTTP: four routes, JSON in and out, from the standard library alone.
+"""The store over HTTP: JSON in and out, from the standard library alone.
 
 ``POST /documents/{id}`` puts a document, ``GET`` reads and ``DELETE`` deletes
 it; ``GET /search?q=...&size=10`` searches.  404 for what isn't there, 422 for
-requests that don't fit, 400 for bodies that can't be indexed.
+requests that don't fit, 400 for bodies that can't be indexed.  ``GET /health``
+answers when Spark does, ``GET /openapi.json`` describes the routes.
 
     python -m lodestone.service FOLDER [PORT]
 """
@@ -25,6 +26,33 @@ log = logging.getLogger("lodestone")
 PORT = 3000
 
 
+def description() -> dict:
+    """The routes as OpenAPI has them."""
+
+    def parameter(name: str, place: str, kind: str, **more: object) -> dict:
+        return {"name": name, "in": place, "required": place == "path" or name == "q", "schema": {"type": kind, **more}}
+
+    def answers(**by_status: str) -> dict:
+        return {"200": {"description": "Done"}} | {s[1:]: {"description": text} for s, text in by_status.items()}
+
+    body = {"required": True, "content": {"application/json": {"schema": {"type": "object"}}}}
+    one = [parameter("doc_id", "path", "string")]
+    missing = "Document not found"
+    return {
+        "openapi": "3.1.0",
+        "info": {"title": "lodestone", "version": "1"},
+        "paths": {
+            "/documents/{doc_id}": {
+                "post": {"summary": "Put a document", "parameters": one, "requestBody": body, "responses": answers(_400="Not indexable", _422="Not a JSON object")},
+                "get": {"summary": "Read a document", "parameters": one, "responses": answers(_404=missing)},
+                "delete": {"summary": "Delete a document", "parameters": one, "responses": answers(_404=missing)},
+            },
+            "/search": {"get": {"summary": "Search", "parameters": [parameter("q", "query", "string"), parameter("size", "query", "integer", default=DEFAULT_SIZE)], "responses": answers(_400="No such size", _422="No q")}},
+            "/health": {"get": {"summary": "Whether Spark answers", "responses": answers()}},
+        },
+    }
+
+
 class Problem(Exception):
     def __init__(self, status: int, detail: str):
         super().__init__(detail)
@@ -80,6 +108,10 @@ class Handler(BaseHTTPRequestHandler):
 
     def read(self) -> object:
         url = urlsplit(self.path)
+        if url.path == "/health":
+            return {"status": "ok", "ready": self.store.spark.range(1).count() == 1}
+        if url.path == "/openapi.json":
+            return description()
         if url.path != "/search":
             return self.store.get(self.document_id())
         asked = parse_qs(url.query, keep_blank_values=True)

@@ -50,3 +50,10 @@ def test_requests_that_do_not_fit(call):
     assert call("POST", "/documents/a", b"[1]")[0] == 422 and call("POST", "/documents/a", b"{")[0] == 422
     assert call("POST", "/documents/a", {"title": {"x": 1}})[0] == 400
     assert call("GET", "/nowhere")[0] == 404
+
+
+def test_health_and_description(call):
+    assert call("GET", "/health") == (200, {"status": "ok", "ready": True})
+    status, said = call("GET", "/openapi.json")
+    assert status == 200 and said["paths"].keys() == {"/documents/{doc_id}", "/search", "/health"}
+    assert [p["name"] for p in said["paths"]["/search"]["get"]["parameters"]] == ["q", "size"]
