@@ -101,3 +101,27 @@ def test_plans(index):
     assert best.count("hashpartitioning(doc_id") == 1  # one shuffle of scores
     assert "EqualTo(doc_id,d1)" in plan(get(index.docs, "d1"))
     assert "In(doc_id, [" in plan(search(index, "hello world"))  # bodies are looked up, not scanned
+
+
+def test_plan_after_writes(spark, docs, index, tmp_path):
+    """Terms are still a filter on the scans of postings, and scores are shuffled once."""
+    changed = docs.where("doc_id in ('d2', 'd5')")
+    index_files.save_tail(index, changed.select("doc_id"), changed.where("doc_id = 'd2'"), str(tmp_path / "tail"))
+    layered = index_files.load_tail(index, str(tmp_path / "tail"))
+    best = plan(top(layered, "hello world"))
+    scans = [line for line in best.splitlines() if "FileScan parquet [term#" in line]
+    assert len(scans) >= 4 and all("In(term" in line for line in scans)  # postings and terms, of the index and of its tail
+    assert best.count("hashpartitioning(doc_id") == 1 and "TakeOrderedAndProject" in best
+    for node in ("CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "MapInArrow"):
+        assert node not in best
+    left = docs.where("doc_id <> 'd5'")
+    for q in GOLDEN:
+        assert top(layered, q).collect() == top(Scan(left), q).collect()
+
+
+def test_texts_are_analysed_once_in_a_scan(spark, tmp_path, docs):
+    docs.write.parquet(str(tmp_path / "docs"))
+    found = field_scores(Scan(spark.read.parquet(str(tmp_path / "docs"))), "hello world")
+    assert found.count() == 4
+    found.collect()
+    assert "ReusedExchange" in plan(found)
