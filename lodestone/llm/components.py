@@ -30,4 +30,6 @@ def components(links: DataFrame) -> DataFrame:
         labels = after
         if after.where("changed").isEmpty():
             discard(both)
-            return after.select("node", "label")
+            out = after.select("node", "label")
+            out.__dict__["_stored_at"] = after.__dict__["_stored_at"]  # to be deleted by whoever has read it
+            return out
