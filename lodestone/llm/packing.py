@@ -104,8 +104,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
 
     Returns a row for each piece: doc_id, start (ids of the document before
     it), length, ids_crc32, doc_tokens, sequence_id, offset; and ids with
-    ``with_ids``.  Null and empty texts are ``end_id`` alone.  Repeated rows
-    are packed each by itself.  No documents: no rows.
+    ``with_ids``.  Null and empty texts are ``end_id`` alone.  A very long text is
+    full windows and one piece.  Repeated rows are packed each by itself, rows
+    of equal length in whatever order they come.  No documents: no rows.
     """
     spark, base = docs.sparkSession, narrowed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     end = np.array([end_id], "<u4").tobytes()

@@ -41,8 +41,8 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
 
     Null texts count as empty.  Rows that repeat an id, or have none, are
     placed by (id, checksum, size), nulls first; rows equal in all three are
-    interchangeable.  A document larger than a shard's target leaves shards
-    empty.  No documents: no rows.
+    interchangeable.  A document larger than a shard's target, however long its
+    text, leaves shards empty.  No documents: no rows.
     """
     spark, base = docs.sparkSession, narrowed(docs, id_col, text_col)
     text = F.coalesce("text", F.lit(""))

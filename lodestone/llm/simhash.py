@@ -295,7 +295,8 @@ def near_duplicates(docs: DataFrame, budget: int = 4, words_in_shingle: int = 4,
     component_id (the smallest doc_id that links reach, itself included).
 
     Null, empty and white texts have fingerprint zero and are linked like any
-    other, so they are one class.  Equal fingerprints are one node, so that
+    other, so they are one class.  A very long text's hashes are counted in
+    pieces; no length changes the rule.  Equal fingerprints are one node, so that
     exact copies add no links.  Rows that repeat an id each have their row; an
     id that is null can't be a class's smallest, unless the class has no other.
     """

@@ -480,7 +480,8 @@ def remove_repeats(docs: DataFrame, as_text: bool = False, text_col: str = "text
     n_removed, n_spans (maximal removed runs), kept (the remaining bytes; with
     ``as_text`` a string, without the characters that a cut has gone through).
 
-    Null texts are empty, with ``as_text`` what is kept of them is null.  Texts of under 200 bytes are kept whole.  Rows are
+    Very long texts are scanned by themselves, one in a batch of work.  Null texts
+    are empty, with ``as_text`` what is kept of them is null.  Texts of under 200 bytes are kept whole.  Rows are
     told apart by their texts alone (64-bit hash and size), so repeated or null
     ids do no harm; equal texts have equal results.
     """

@@ -50,7 +50,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     (more than ``limit`` tokens).
 
     Each input row gives one row, repeated ids and texts included; no rows, no
-    rows.  Copies are reduced before they are shuffled, so that a group of
+    rows.  A text of any length is encoded as a whole.  Copies are reduced before they are shuffled, so that a group of
     copies of any size is one content.
     """
     spark, base = docs.sparkSession, narrowed(docs, id_col, text_col)

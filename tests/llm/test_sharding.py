@@ -25,4 +25,5 @@ def test_shards(frame):
     check(frame, texts, list(range(len(texts))), 8)
     check(frame, texts, [None, None, *[5] * 50, *range(len(texts) - 52)], 8)
     check(frame, ["a"], [3], 40)
+    check(frame, ["é" * 1_000_000, "b", "c", None], [1, 2, 3, 4], 3)
     assert assign_shards(frame([])).count() == 0

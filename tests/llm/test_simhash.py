@@ -134,3 +134,10 @@ def test_ids_that_are_null_or_repeat(frame):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in rows) == [("4", "4"), ("4", "4"), ("None", "4"), ("None", "None")]
     assert near_duplicates(frame([])).count() == 0
     assert {r["component_id"] for r in near_duplicates(frame(["q", "q"], ["b", "a"], "string")).select(F.col("component_id")).collect()} == {"a"}
+
+
+def test_very_long_text(frame):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(900)}" for _ in range(70_000))
+    rows = {r["doc_id"]: r for r in near_duplicates(frame([long, long + " end", "short"])).collect()}
+    assert rows[0]["fingerprint"] == f"{plain(long):016x}" and [rows[i]["component_id"] for i in range(3)] == [0, 0, 2]

@@ -85,6 +85,15 @@ def test_a_window_of_many_documents_is_combined_in_each_task():
     assert sorted((r["key"], r["start"], r["windows"]) for r in spans) == [(k, 30, 21) for k in range(240)]
 
 
+def test_very_long_texts(frame):
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    passage = make(260)
+    texts = [make(60_000) + passage + make(40_000), "tail " + passage, "ab" * 30_000]
+    got = {r["row"]["doc_id"]: r for r in remove_repeats(frame(texts)).collect()}
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for _, r in sorted(got.items())] == plain(texts)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_collection(seed):
     rng = random.Random(seed)
