@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of words, with their ids and what Python objects take, met since the last turn;
 #: at each turn, words not met since the turn before go.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 96 << 20
 #: Characters of a string whose ids may be kept, and bytes that its objects take besides.
 LONGEST_KEPT, OBJECTS = 200, 250
 #: Texts that are looked up together, so that new words go to the library in one call.
@@ -79,10 +78,9 @@ class Encoder:
             self.heads: dict[str, bytes] = {}
             self.size = 0  # bytes of words and heads since the last turn
 
-    def _keep(self, kept: dict[str, bytes], found: Iterable[tuple[str, bytes]]) -> None:
-        for w, ids in found:
-            kept[w] = ids
-            self.size += OBJECTS + 4 * len(w) + len(ids)
+    def _keep(self, kept: dict[str, bytes], words: list[str], ids: list[bytes]) -> None:
+        kept.update(zip(words, ids, strict=True))
+        self.size += OBJECTS * len(words) + 4 * sum(map(len, words)) + sum(map(len, ids))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -112,12 +110,12 @@ class Encoder:
             new.remove(w)
             long[w] = _packed(self.whole([" " + w]))[0]
         met = [w for w in new if w in self.older]
-        self._keep(self.words, [(w, self.older[w]) for w in met])
+        self._keep(self.words, met, [self.older[w] for w in met])
         new.difference_update(met)
         if new:
             self._learn(new)
         heads = list({h for _, h, _, _ in split if len(h) <= LONGEST_KEPT} - self.heads.keys())
-        self._keep(self.heads, zip(heads, _packed(self.whole(heads)), strict=True))
+        self._keep(self.heads, heads, _packed(self.whole(heads)))
         for i, head, got, gaps in split:
             for j, w in gaps:
                 got[j] = long[w] if w in long else self.words[w]
@@ -138,10 +136,10 @@ class Encoder:
                 plain.append(w)
         for base in {w[:-1] for w in ended if w[:-1] not in self.words and w[:-1] not in new}:
             if base in self.older:
-                self._keep(self.words, [(base, self.older[base])])
+                self._keep(self.words, [base], [self.older[base]])
             else:
                 plain.append(base)
-        self._keep(self.words, zip(alone, _packed(self.whole([" " + w for w in alone])), strict=True))
+        self._keep(self.words, alone, _packed(self.whole([" " + w for w in alone])))
         start = 0
         while start < len(plain):
             stop, size = start, 0
@@ -153,11 +151,11 @@ class Encoder:
             cuts = np.flatnonzero(self.led[ids])
             if len(cuts) == len(part):
                 raw, at = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-                self._keep(self.words, zip(part, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+                self._keep(self.words, part, [raw[a:b] for a, b in zip(at, at[1:], strict=False)])
             else:
-                self._keep(self.words, zip(part, _packed(self.whole([" " + w for w in part])), strict=True))
+                self._keep(self.words, part, _packed(self.whole([" " + w for w in part])))
             start = stop
-        self._keep(self.words, [(w, self.words[w[:-1]] + ends[w[-1]]) for w in ended])
+        self._keep(self.words, ended, [self.words[w[:-1]] + ends[w[-1]] for w in ended])
 
 
 def _packed(ids: list[list[int]]) -> list[bytes]:
