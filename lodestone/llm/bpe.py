@@ -23,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes of words, with their ids and what Python objects take, met since the last turn;
 #: at each turn, words not met since the turn before go.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 160 << 20
 #: Characters of a string whose ids may be kept, and bytes that its objects take besides.
 LONGEST_KEPT, OBJECTS = 200, 250
 #: Texts that are looked up together, so that new words go to the library in one call.
