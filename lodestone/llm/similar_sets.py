@@ -19,6 +19,11 @@
    Then the tries are walked again for pairs that links don't connect and that
    weren't candidates yet, farther ones and more of them, until a turn brings
    less than ``PRODUCTIVE`` of all links.
+6. What tries missed.  Sets that are similar share one of the first fifth of
+   their hashes, in any order common to all sets; so each node goes to these
+   (``prefix``), and pairs of different classes that meet there are candidates,
+   whatever their fingerprints.  Sizes and bitmaps of parities refuse those that
+   can't be similar, whole sets decide.  After that no link is left out.
 """
 
 from __future__ import annotations
@@ -54,6 +59,12 @@ SUBTREE, LARGEST = 2048, 3072
 #: Turns end when one brings less than this share of all links.
 PRODUCTIVE = 0.001
 
+#: Texts, about, whose shingles are counted so that frequent ones come last in prefixes, and how many of these
+#: have a place of their own: that decides how many candidates there are, not which links are found.
+COUNTED, FREQUENT = 4096, 1 << 16
+#: Bits of a set's parities, and rows or pairs of prefixes that a task holds at once, but for one hash's rows.
+PARITIES, TOGETHER = 1024, 1 << 20
+
 
 def shingles(text: bytes, words_in_shingle: int = 5) -> np.ndarray:
     """The sorted, distinct XXH64 of a text's shingles; words and shingles as in ``simhash.fingerprint``."""
@@ -87,6 +98,28 @@ def lanes(own: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The hashes of a set that come first, seldom ones before ``frequent`` ones (sorted, with ``counts``).
+
+    Sets that are similar share ``SHARED / OF`` of the larger one's hashes at
+    least, so that the first that they share, in this order, is in the prefixes of both.
+    """
+    n = len(own) + 1 - -(-SHARED * len(own) // OF)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        own = own[np.argsort(np.where(frequent[at] == own, counts[at], 0), kind="stable")]
+    return own[:n]
+
+
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each remainder of the hashes: set if it has an odd number of them.
+
+    Two sets' bits differ in no more places than the sets do.
+    """
+    odd = np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def levels_and_tries(n: int) -> tuple[int, int]:
     """First levels on which nodes of a trie must agree, and tries, for ``n`` nodes."""
     levels = max(0, math.ceil(math.log2(max(1, n) / SUBTREE)))
@@ -259,6 +292,99 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(map_arrow(there.select("a", "b", "x", "y"), compare, [("a", "long"), ("b", "long")]), "verified")
 
 
+def _frequent(numbered: DataFrame, rows: int, words_in_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes that occur repeatedly in about ``COUNTED`` texts, and how often: ``FREQUENT`` at most."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in utf8(b.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t or b"", words_in_shingle).view(np.int64))], ["hash"])
+
+    some = numbered.where(F.pmod(F.xxhash64("number"), F.lit(max(1, rows // COUNTED))) == 0).select("text")
+    counted = map_arrow(some, spread, [("hash", "long")]).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    got = counted.orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()
+    hashes, counts = np.array([r["hash"] for r in got], np.int64).view(np.uint64), np.array([r["n"] for r in got], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def sharing(token: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b), a < b: nodes of different labels and fit sizes that have a token; rows are sorted by token and label."""
+    other = np.concatenate([token[1:] != token[:-1], [True]])
+    ends = np.flatnonzero(other)
+    past_token = np.repeat(ends + 1, np.diff(ends, prepend=-1))
+    ends = np.flatnonzero(other | np.concatenate([label[1:] != label[:-1], [True]]))
+    past_label = np.repeat(ends + 1, np.diff(ends, prepend=-1))
+    partners = past_token - past_label
+    turns = np.cumsum(partners) // TOGETHER
+    for first, past in _runs(turns):
+        own = partners[first:past]
+        x = np.repeat(np.arange(first, past), own)
+        if not len(x):
+            continue
+        y = past_label[x] + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
+        fit = OF * np.minimum(size[x], size[y]) >= SHARED * np.maximum(size[x], size[y])
+        a, b = np.minimum(node[x], node[y])[fit], np.maximum(node[x], node[y])[fit]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        heads = [start for start, _ in _runs(a, b)]
+        yield a[heads], b[heads]
+
+
+def _unlinked(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of nodes with different labels that prefixes, sizes and parities allow to be similar.
+
+    ``rows`` has each number's prefix, size and parities, ``named`` the label of each node.
+    """
+    spread_fields = [("token", "long"), ("label", "long"), ("node", "long"), ("size", "int")]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column("prefix").to_pylist()
+            each = np.array([len(r) // 8 for r in raw], np.int64)
+            token = np.frombuffer(b"".join(raw), np.int64)
+            columns = [pa.array(np.repeat(b.column(c).to_numpy(), each)) for c, _ in spread_fields[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(token), *columns], [c for c, _ in spread_fields])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, enough = [], 0, TOGETHER
+
+        def pairs(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, enough
+            columns = [np.concatenate([h[i] for h in held]) for i in range(len(spread_fields))]
+            token = columns[0]
+            cut = len(token) if last else int(np.searchsorted(token, token[-1]))  # the last token may go on
+            for a, b in sharing(*(c[:cut] for c in columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held, size = [[c[cut:] for c in columns]], len(token) - cut
+            enough = max(TOGETHER, 2 * size)
+
+        for b in batches:
+            held.append([b.column(c).to_numpy() for c, _ in spread_fields])
+            size += b.num_rows
+            if size >= enough:
+                yield from pairs(last=False)
+        if size:
+            yield from pairs(last=True)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y")]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+            keep = pa.array((OF + SHARED) * differ <= (OF - SHARED) * b.column("sizes").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+    ends = [("a", "long"), ("b", "long")]
+    there = rows.withColumnRenamed("number", "node").join(named, "node").select("label", "node", "size", "prefix")
+    by_token = map_arrow(there, spread, spread_fields).repartition("token").sortWithinPartitions("token", "label")
+    pairs = stored(map_arrow(by_token, meet, ends).distinct(), "sharing")
+    known = [rows.select(F.col("number").alias(c), F.col("parities").alias(p), F.col("size").alias(f"size_{c}")) for c, p in (("a", "x"), ("b", "y"))]
+    both = pairs.join(known[0], "a").join(known[1], "b").select("a", "b", "x", "y", (F.col("size_a").cast("long") + F.col("size_b")).alias("sizes"))
+    out = stored(map_arrow(both, screen, ends), "unlinked")
+    discard(pairs)
+    return out
+
+
 def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(node, label): each node's label after links (a, b) have joined classes, the least of theirs.
 
@@ -282,12 +408,13 @@ def similar_classes(numbered: DataFrame, words_in_shingle: int = 5) -> DataFrame
     ``numbered`` is read several times and its numbers are distinct.  The class
     is the smallest number in it.  Null, empty and white texts have the empty
     set and are one class; a text of fewer words than a shingle has is one
-    shingle.  No rows: no rows.  A pair of similarity 0.8 is found with a
-    probability of about 0.94 (``MISSED``, and ``NEAR`` bits), a more similar one
-    with a greater one, and most that are missed are in one class all the same;
-    no link is of sets less similar.
+    shingle.  No rows: no rows.  Tries find a pair of similarity 0.8 with a
+    probability of about 0.94 (``MISSED``, and ``NEAR`` bits); prefixes find
+    every pair that tries' links don't connect.  No link is of sets less similar.
     """
-    levels, tries = levels_and_tries(numbered.count())
+    n = numbered.count()
+    levels, tries = levels_and_tries(n)
+    frequent, counts = _frequent(numbered, n, words_in_shingle)
     count = max(LANES, -(-max(levels * tries, 64) // 64))
     at = (np.arange(tries)[:, None] * levels + np.arange(64)[None, :]) % (64 * count)
 
@@ -297,9 +424,11 @@ def similar_classes(numbered: DataFrame, words_in_shingle: int = 5) -> DataFrame
             marks = [lanes(s, count) for s in own]
             paths = [np.packbits(np.unpackbits(m.view(np.uint8))[at], axis=1).view(">u8").ravel().astype(np.int64) for m in marks]
             columns = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([m[:LANES].tobytes() for m in marks], pa.binary()), pa.array(paths, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("number"), *columns], ["number", "digest", "print", "paths"])
+            columns += [pa.array([len(s) for s in own], pa.int32()), pa.array([prefix(s, frequent, counts).tobytes() for s in own], pa.binary()), pa.array([parities(s) for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("number"), *columns], [c for c, _ in fields])
 
-    rows = stored(map_arrow(numbered.select("number", "text"), scan, [("number", "long"), ("digest", "binary"), ("print", "binary"), ("paths", "array<long>")]), "prints")
+    fields = [("number", "long"), ("digest", "binary"), ("print", "binary"), ("paths", "array<long>"), ("size", "int"), ("prefix", "binary"), ("parities", "binary")]
+    rows = stored(map_arrow(numbered.select("number", "text"), scan, fields), "prints")
     nodes = stored(rows.groupBy("digest").agg(F.min("number").alias("node")), "nodes")
     heads = rows.join(nodes.select(F.col("node").alias("number")), "number", "left_semi").select(F.col("number").alias("node"), "print", "paths")
     # sets with equal fingerprints are linked through the first of them, which alone goes to the tries
@@ -327,5 +456,13 @@ def similar_classes(numbered: DataFrame, words_in_shingle: int = 5) -> DataFrame
         discard(was)
         turn += 1
     discard(dealt, leads, same, sets, *hubs)
+    named = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    missed = _unlinked(rows, named)
+    sets = _sets(missed, numbered, words_in_shingle)
+    found = _verified(missed, sets)
+    if not found.isEmpty():
+        before, labels = labels, _joined(found, labels)
+        discard(before)
+    discard(missed, sets, found)
     classes = rows.select("number", "digest").join(nodes, "digest")
     return classes.join(labels, "node", "left").select("number", F.coalesce("label", "node").alias("class"))

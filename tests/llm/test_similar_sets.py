@@ -68,6 +68,42 @@ def test_small_subtrees(spark, monkeypatch):
     assert len(links) > 500 and sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
 
 
+def test_no_link_is_left_out(spark, monkeypatch):
+    """What tries miss, here nearly all, prefixes find: also in tasks that take a few rows at a time."""
+    monkeypatch.setattr(similar_sets, "SUBTREE", 2)
+    monkeypatch.setattr(similar_sets, "LARGEST", 4)
+    monkeypatch.setattr(similar_sets, "levels_and_tries", lambda n: (12, 1))
+    texts = texts_of(2, 3, 20) + texts_of(4, 80, 2)
+    common = " ".join(f"c{i}" for i in range(40))
+    texts += [f"{common} {t}" for t in texts_of(6, 30, 2)[6:]]
+    want = plain_classes(texts)
+    assert found(spark, texts) == want
+    monkeypatch.setattr(similar_sets, "FREQUENT", 5)
+    assert found(spark, texts) == want
+
+
+def test_prefixes_and_parities():
+    rng = np.random.default_rng(8)
+    frequent, counts = np.arange(0, 300, 3, dtype=np.uint64), rng.integers(2, 9, 100)
+    for n in [*range(1, 30), 64, 200, 301]:
+        a = np.sort(rng.choice(900, n, replace=False)).astype(np.uint64)
+        for cut in range(n // 5 + 1):
+            for b in (np.delete(a, rng.choice(n, cut, replace=False)), np.unique(np.concatenate([np.delete(a, rng.choice(n, cut // 2, replace=False)), rng.choice(900, cut // 2).astype(np.uint64)]))):
+                if len(b) and similar_sets.similar(a, b):
+                    assert np.intersect1d(similar_sets.prefix(a, frequent, counts), similar_sets.prefix(b, frequent, counts)).size
+                x, y = (np.frombuffer(similar_sets.parities(s), np.uint8) for s in (a, b))
+                assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_sharing_is_every_pair_of_classes(monkeypatch):
+    monkeypatch.setattr(similar_sets, "TOGETHER", 7)
+    rng = np.random.default_rng(9)
+    rows = np.array(sorted({(int(t), int(n) % 9, int(n), 100 + 5 * (int(n) % 11)) for t, n in rng.integers(0, 40, (400, 2))}))
+    token, label, node, size = rows.T
+    got = {p for a, b in similar_sets.sharing(token, label, node, size) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert got == {(x[2], y[2]) for x in rows.tolist() for y in rows.tolist() if x[0] == y[0] and x[1] != y[1] and x[2] < y[2] and 5 * min(x[3], y[3]) >= 4 * max(x[3], y[3])}
+
+
 def test_copies_that_no_levels_tell_apart(spark, monkeypatch):
     monkeypatch.setattr(similar_sets, "SUBTREE", 4)
     monkeypatch.setattr(similar_sets, "LARGEST", 8)
