@@ -62,7 +62,7 @@ PRODUCTIVE = 0.001
 #: Texts, about, whose shingles are counted so that frequent ones come last in prefixes, and how many of these
 #: have a place of their own: that decides how many candidates there are, not which links are found.
 COUNTED, FREQUENT = 4096, 1 << 16
-#: Bits of a set's parities, and rows or pairs of prefixes that a task holds at once, but for one hash's rows.
+#: Least number of bits of a set's parities, and rows or pairs of prefixes that a task holds at once, but for one hash's rows.
 PARITIES, TOGETHER = 1024, 1 << 20
 
 
@@ -112,14 +112,18 @@ def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def parities(own: np.ndarray) -> bytes:
-    """A bit for each remainder of the hashes: set if it has an odd number of them.
-
-    Two sets' bits differ in no more places than the sets do.
-    """
-    odd = np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    """A bit for each remainder of the hashes: set if it has an odd number of them; twice as many bits as hashes at least."""
+    bits = max(PARITIES, 1 << (2 * len(own) - 1).bit_length() if len(own) else 0)
+    odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two sets' parities differ: no more than the sets do.  The longer are folded to the shorter."""
+    short, long = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0) ^ short).sum())
+
+
 def levels_and_tries(n: int) -> tuple[int, int]:
     """First levels on which nodes of a trie must agree, and tries, for ``n`` nodes."""
     levels = max(0, math.ceil(math.log2(max(1, n) / SUBTREE)))
@@ -308,8 +312,13 @@ def _frequent(numbered: DataFrame, rows: int, words_in_shingle: int) -> tuple[np
     return hashes[order], counts[order]
 
 
-def sharing(token: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(a, b), a < b: nodes of different labels and fit sizes that have a token; rows are sorted by token and label."""
+def sharing(token: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b), a < b: nodes of different labels that have a token and may be similar; rows are sorted by token and label.
+
+    If the token, at place ``at`` of each set, is the first that both have, the
+    sets differ in all hashes before it and have no more in common than one has from
+    there on.  Similar sets stand both tests at their first common token.
+    """
     other = np.concatenate([token[1:] != token[:-1], [True]])
     ends = np.flatnonzero(other)
     past_token = np.repeat(ends + 1, np.diff(ends, prepend=-1))
@@ -323,7 +332,9 @@ def sharing(token: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.nda
         if not len(x):
             continue
         y = past_label[x] + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
-        fit = OF * np.minimum(size[x], size[y]) >= SHARED * np.maximum(size[x], size[y])
+        both = size[x] + size[y]
+        fit = (OF + SHARED) * (at[x] + at[y]) <= (OF - SHARED) * both
+        fit &= (OF + SHARED) * np.minimum(size[x] - at[x], size[y] - at[y]) >= SHARED * both
         a, b = np.minimum(node[x], node[y])[fit], np.maximum(node[x], node[y])[fit]
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
@@ -336,14 +347,15 @@ def _unlinked(rows: DataFrame, named: DataFrame) -> DataFrame:
 
     ``rows`` has each number's prefix, size and parities, ``named`` the label of each node.
     """
-    spread_fields = [("token", "long"), ("label", "long"), ("node", "long"), ("size", "int")]
+    spread_fields = [("token", "long"), ("label", "long"), ("node", "long"), ("size", "int"), ("at", "int")]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column("prefix").to_pylist()
             each = np.array([len(r) // 8 for r in raw], np.int64)
             token = np.frombuffer(b"".join(raw), np.int64)
-            columns = [pa.array(np.repeat(b.column(c).to_numpy(), each)) for c, _ in spread_fields[1:]]
+            columns = [pa.array(np.repeat(b.column(c).to_numpy(), each)) for c, _ in spread_fields[1:-1]]
+            columns.append(pa.array((np.arange(len(token)) - np.repeat(np.cumsum(each) - each, each)).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(token), *columns], [c for c, _ in spread_fields])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +366,7 @@ def _unlinked(rows: DataFrame, named: DataFrame) -> DataFrame:
             columns = [np.concatenate([h[i] for h in held]) for i in range(len(spread_fields))]
             token = columns[0]
             cut = len(token) if last else int(np.searchsorted(token, token[-1]))  # the last token may go on
-            for a, b in sharing(*(c[:cut] for c in columns)):
+            for a, b in sharing(*(c[:cut].astype(np.int64) for c in columns)):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             held, size = [[c[cut:] for c in columns]], len(token) - cut
             enough = max(TOGETHER, 2 * size)
@@ -369,8 +381,7 @@ def _unlinked(rows: DataFrame, named: DataFrame) -> DataFrame:
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y")]
-            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)
+            differ = np.fromiter(map(differing, b.column("x").to_pylist(), b.column("y").to_pylist()), np.int64, b.num_rows)
             keep = pa.array((OF + SHARED) * differ <= (OF - SHARED) * b.column("sizes").to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 

@@ -91,17 +91,20 @@ def test_prefixes_and_parities():
             for b in (np.delete(a, rng.choice(n, cut, replace=False)), np.unique(np.concatenate([np.delete(a, rng.choice(n, cut // 2, replace=False)), rng.choice(900, cut // 2).astype(np.uint64)]))):
                 if len(b) and similar_sets.similar(a, b):
                     assert np.intersect1d(similar_sets.prefix(a, frequent, counts), similar_sets.prefix(b, frequent, counts)).size
-                x, y = (np.frombuffer(similar_sets.parities(s), np.uint8) for s in (a, b))
-                assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+                assert similar_sets.differing(similar_sets.parities(a), similar_sets.parities(b)) <= len(np.setxor1d(a, b))
+    one, other = (np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (5000, 700))  # of unlike lengths, folded
+    assert 700 < similar_sets.differing(similar_sets.parities(one), similar_sets.parities(other)) <= 5700
 
 
 def test_sharing_is_every_pair_of_classes(monkeypatch):
     monkeypatch.setattr(similar_sets, "TOGETHER", 7)
     rng = np.random.default_rng(9)
-    rows = np.array(sorted({(int(t), int(n) % 9, int(n), 100 + 5 * (int(n) % 11)) for t, n in rng.integers(0, 40, (400, 2))}))
-    token, label, node, size = rows.T
-    got = {p for a, b in similar_sets.sharing(token, label, node, size) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    assert got == {(x[2], y[2]) for x in rows.tolist() for y in rows.tolist() if x[0] == y[0] and x[1] != y[1] and x[2] < y[2] and 5 * min(x[3], y[3]) >= 4 * max(x[3], y[3])}
+    rows = np.array(sorted({(int(t), int(n) % 9, int(n), 100 + 5 * (int(n) % 11), (int(t) * int(n)) % 30) for t, n in rng.integers(0, 40, (400, 2))}))
+    got = {p for a, b in similar_sets.sharing(*rows.T) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    may = lambda n, m, i, j: 9 * (i + j) <= n + m and 9 * min(n - i, m - j) >= 4 * (n + m)
+    pairs = [(x, y) for x in rows.tolist() for y in rows.tolist() if x[0] == y[0] and x[1] != y[1] and x[2] < y[2]]
+    want = {(x[2], y[2]) for x, y in pairs if may(x[3], y[3], x[4], y[4])}
+    assert got == want and 0 < len(want) < len({(x[2], y[2]) for x, y in pairs})
 
 
 def test_copies_that_no_levels_tell_apart(spark, monkeypatch):
